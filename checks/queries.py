@@ -490,7 +490,7 @@ def utility_matrix(spark, sf_dir):
 
 @query
 def item_neighbors(spark, sf_dir):
-    return filtering.item_neighbors(fx.vectors(spark, sf_dir), column="embedding")
+    return filtering.item_neighbors(fx.vectors(spark, sf_dir), min_correlation=0.2, column="embedding")
 
 
 @query
@@ -505,7 +505,7 @@ def cf_recommend(spark, sf_dir):
 
 def factor_recommendations(spark, sf_dir) -> DataFrame:
     matrix = checkpointed(filtering.utility_matrix(fx.feed(spark, sf_dir)))
-    neighbors = checkpointed(filtering.item_neighbors(fx.vectors(spark, sf_dir), column="embedding"))
+    neighbors = checkpointed(filtering.item_neighbors(fx.vectors(spark, sf_dir), min_correlation=0.2, column="embedding"))
     return filtering.recommend_neighbors(matrix, neighbors, 10, feed_products(spark, sf_dir))
 
 

@@ -47,8 +47,8 @@ def compare(spark_table, sql_table) -> str:
         return f"columns {names} <> {other_names}"
     notes = [f"{n}: {a} <> {b}" for n, a, b in zip(names, kinds, other_kinds) if a != b]
     if rows != other_rows:
-        left = list((rows - other_rows).items())[:2]
-        right = list((other_rows - rows).items())[:2]
+        left = [[v[:60] for v in row] for row in list(rows - other_rows)[:2]]
+        right = [[v[:60] for v in row] for row in list(other_rows - rows)[:2]]
         notes.append(
             f"{sum(rows.values())} rows <> {sum(other_rows.values())} rows, {sum((rows - other_rows).values())} differ"
             f"\n   spark {left}\n   sql   {right}"
@@ -77,7 +77,7 @@ def main() -> None:
                 verdict = "rows only"
             else:
                 begin = time.time()
-                expected = con.execute(ORACLES[name]).to_arrow_table()
+                expected = con.sql(ORACLES[name]).to_arrow_table()
                 verdict = compare(result, expected) or f"ok (sql {time.time() - begin:.1f}s)"
                 bad += not verdict.startswith("ok")
             print(f"{name:26} {result.num_rows:8} rows {took:6.1f}s  {verdict[:1500]}", flush=True)

@@ -62,14 +62,19 @@ def recall_at_k(recommended: DataFrame, relevant: DataFrame, k: int = 10, key: s
     return hits.select(key, rounded(F.col("n_hits") / F.col("n_relevant")).alias("recall"))
 
 
+def _first_hits(recommended: DataFrame, relevant: DataFrame, k: int, key: str) -> DataFrame:
+    value = F.coalesce(F.lit(1.0) / F.col("first_hit"), F.lit(0.0))
+    return _hits(recommended, relevant, k, key).select(key, value.alias("reciprocal_rank"))
+
+
 def reciprocal_rank(recommended: DataFrame, relevant: DataFrame, k: int = 10, key: str = "query_id") -> DataFrame:
-    hits = _hits(recommended, relevant, k, key)
-    return hits.select(key, rounded(F.coalesce(F.lit(1.0) / F.col("first_hit"), F.lit(0.0))).alias("reciprocal_rank"))
+    found = _first_hits(recommended, relevant, k, key)
+    return found.withColumn("reciprocal_rank", rounded(F.col("reciprocal_rank")))
 
 
 def mean_reciprocal_rank(recommended: DataFrame, relevant: DataFrame, k: int = 10, key: str = "query_id") -> DataFrame:
     """One row: the mean over all keys with a relevant id."""
-    return reciprocal_rank(recommended, relevant, k, key).agg(
+    return _first_hits(recommended, relevant, k, key).agg(
         rounded(F.avg("reciprocal_rank")).alias("mrr"), F.count("*").alias("n_users")
     )
 

@@ -51,8 +51,8 @@ def _search_kernel(digits: int):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        def matrix(table):
-            column = table.column("embedding").combine_chunks()
+        def matrix(table, name):
+            column = table.column(name).combine_chunks()
             return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
         names = ["query_id", "asin", "score", "rank"]
@@ -61,7 +61,7 @@ def _search_kernel(digits: int):
         if len(query_ids) == 0 or len(item_ids) == 0:
             empty = [query_ids.slice(0, 0), item_ids.slice(0, 0)]
             return pa.table([*empty, pa.array([], pa.float64()), pa.array([], pa.int32())], names=names)
-        left, right = matrix(queries), matrix(items).T
+        left, right = matrix(queries, "query_vector"), matrix(items, "item_vector").T
         depths = np.asarray(queries.column("depth").combine_chunks())
         n_items = right.shape[1]
         id_order = np.empty(n_items, dtype=np.int64)
@@ -105,11 +105,17 @@ def _score_blocks(queries: DataFrame, items: DataFrame, n_tasks: int, digits: in
             T.StructField("rank", T.IntegerType()),
         ]
     )
-    left = queries.select("query_id", "embedding", "depth", *keys).repartition(n_tasks, *keys)
-    right = items.select("asin", "embedding", *keys).repartition(n_tasks, *keys)
+    # The two sides may stem from one table, so no column keeps a common name.
+    left_keys, right_keys = [f"q{key}" for key in keys], [f"i{key}" for key in keys]
+    left = queries.select(
+        "query_id", F.col("embedding").alias("query_vector"), "depth", *[F.col(a).alias(b) for a, b in zip(keys, left_keys)]
+    ).repartition(n_tasks, *left_keys)
+    right = items.select(
+        F.col("asin"), F.col("embedding").alias("item_vector"), *[F.col(a).alias(b) for a, b in zip(keys, right_keys)]
+    ).repartition(n_tasks, *right_keys)
     return (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
+        left.groupBy(*left_keys)
+        .cogroup(right.groupBy(*right_keys))
         .applyInArrow(_search_kernel(digits), schema)
     )
 
