@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recspark.session import work_path
+from recspark.session import spread, work_path
+
+
+ROW_KEYS = {
+    "lineitem": ["l_orderkey", "l_partkey"],
+    "orders": ["o_orderkey"],
+    "documents": ["doc_id"],
+    "events": ["event_id"],
+    "conversations": ["conv_id", "turn"],
+    "pages": ["page_id"],
+    "embeddings": ["vec_id"],
+    "part": ["p_partkey"],
+    "customer": ["c_custkey"],
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Its one file is one task's work however many cores there are, so it is spread while it is small."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *ROW_KEYS.get(name, []))
 
 
 def epoch_seconds(moment: Column) -> Column:

@@ -380,14 +380,16 @@ def recommend_blend(spark, sf_dir):
 
 @query
 def recommend_eco(spark, sf_dir):
-    return recommend.with_sustainability(feed_recommendations(spark, sf_dir)).select(
+    return recommend.with_sustainability(feed_recommendations(spark, sf_dir), feed_products(spark, sf_dir)).select(
         "query_id", "rank", "asin", "score", "sustainability_score", "short_reason"
     )
 
 
 @query
 def recommend_eco_resorted(spark, sf_dir):
-    return recommend.with_sustainability(feed_recommendations(spark, sf_dir), resort=True).select(
+    return recommend.with_sustainability(
+        feed_recommendations(spark, sf_dir), feed_products(spark, sf_dir), resort=True
+    ).select(
         "query_id", "rank", "asin", "score", "sustainability_score", "short_reason"
     )
 
@@ -413,8 +415,8 @@ def recommend_cold_start(spark, sf_dir):
 def candidate_rows(spark, sf_dir) -> DataFrame:
     """Retrieved candidates of the feed's users, history items excluded."""
     vectors = fx.vectors(spark, sf_dir)
-    profiles, owned = recommend.history_queries(fx.feed(spark, sf_dir), vectors)
-    return checkpointed(recommend.retrieve_exact(vectors)(checkpointed(profiles), owned))
+    owned = recommend.history_items(fx.feed(spark, sf_dir))
+    return checkpointed(search.search(profile_vectors(owned, vectors, user="query_id"), vectors, 100, excluded=owned))
 
 
 @query
@@ -518,18 +520,9 @@ def cf_recommend_factors(spark, sf_dir):
 # Comparison and evaluation
 
 
-def max_recommendations(spark, sf_dir) -> DataFrame:
-    vectors = fx.vectors(spark, sf_dir)
-    rows = history.recent_best(fx.feed(spark, sf_dir), 20)
-    owned = rows.select(F.col("reviewerID").alias("query_id"), "asin")
-    profiles = checkpointed(profile_vectors(owned, vectors, "max", user="query_id"))
-    found = recommend.retrieve_exact(vectors)(profiles, owned)
-    return recommend.present(found, feed_products(spark, sf_dir))
-
-
 @query
 def compare_lists(spark, sf_dir):
-    return compare.compare_lists(feed_recommendations(spark, sf_dir), max_recommendations(spark, sf_dir))
+    return compare.compare_lists(feed_recommendations(spark, sf_dir), feed_recommendations(spark, sf_dir, how="max"))
 
 
 @query

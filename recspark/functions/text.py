@@ -35,15 +35,3 @@ def product_text(title: Column, brand: Column, category: Column, description: Co
         part("Description: ", shortened),
         part("Reviews: ", F.left(reviews, F.lit(REVIEWS_LIMIT))),
     )
-
-
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
-
-
-def token_buckets(text: Column, dim: int) -> Column:
-    """One bucket in [0, dim) per token, from the first 32 bits of the token's md5."""
-    return F.transform(
-        tokens(text),
-        lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % F.lit(dim)).cast("int"),
-    )

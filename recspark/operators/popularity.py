@@ -33,7 +33,7 @@ def recommend_popular(products: DataFrame, k: int = 10, excluded: DataFrame | No
     """The k best of the popular pool after the exclusion of `excluded(asin)`."""
     pool = popularity_topk(products).drop("rank")
     if excluded is not None:
-        pool = exclude_items(pool, excluded.distinct(), ["asin"])
+        pool = exclude_items(pool, excluded, ["asin"])
     note = F.concat(
         F.lit("Popular product: "), F.col("num_reviews").cast("string"), F.lit(" reviews, "),
         fixed(F.col("avg_rating"), 1), F.lit("★"),

@@ -45,9 +45,13 @@ def best_first(item: str = "asin", score: str = "score") -> list[Column]:
 
 
 def exclude_items(ranked: DataFrame, excluded: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Drop the rows whose keys occur in `excluded`; ranks are left as they are."""
-    return ranked.join(excluded.select(*keys), list(keys), "left_anti")
+    """Drop the rows whose keys occur in `excluded`; ranks are left as they are.
+
+    `excluded` is reduced to its distinct keys first: before the shuffle, and in the join's partitioning.
+    """
+    return ranked.join(excluded.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def keep_items(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(wanted.select(*keys), list(keys), "left_semi")
+    """Keep the rows whose keys occur in `wanted`."""
+    return df.join(wanted.select(*keys).distinct(), list(keys), "left_semi")

@@ -263,22 +263,23 @@ def search(
     exclude_first: bool = False,
     n_queries: int | None = None,
     n_items: int | None = None,
+    ranked: bool = True,
 ) -> DataFrame:
     """Candidates per query, then the exclusion.
 
-    By default the ids in `excluded(query_id, asin)` are dropped after the cut at k, so fewer than
+    Without `ranked` the column `rank` is left out, for callers that rank anew. By default the ids in `excluded(query_id, asin)` are dropped after the cut at k, so fewer than
     k may remain. With `exclude_first` every query fetches k rows plus one per excluded id of its
     own, so k allowed items remain whenever they exist.
     """
     if excluded is None:
-        return exact_topk(queries, items, k, n_queries=n_queries, n_items=n_items)
+        found = exact_topk(queries, items, k, n_queries=n_queries, n_items=n_items)
+        return found if ranked else found.drop("rank")
     keys = ["query_id", "asin"]
-    excluded = excluded.select(*keys).distinct()
     if exclude_first:
-        own = excluded.groupBy("query_id").agg(F.count("*").cast("int").alias("_excluded"))
+        own = excluded.select(*keys).distinct().groupBy("query_id").agg(F.count("*").cast("int").alias("_excluded"))
         asked = queries.join(own, "query_id", "left").withColumn("depth", F.lit(k) + F.coalesce("_excluded", F.lit(0)))
         candidates, _ = _exact_candidates(asked, items, n_queries, n_items, SCORE_DIGITS)
     else:
         candidates = exact_topk(queries, items, k, n_queries=n_queries, n_items=n_items)
-    kept = exclude_items(candidates, excluded, keys)
-    return top_per_group(kept.drop("rank"), ["query_id"], best_first(), k)
+    kept = exclude_items(candidates, excluded, keys).drop("rank")
+    return top_per_group(kept, ["query_id"], best_first(), k) if ranked or exclude_first else kept

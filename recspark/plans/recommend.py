@@ -14,7 +14,7 @@ from recspark.operators.embed import embed_texts
 from recspark.operators.history import recent_best
 from recspark.operators.popularity import display_columns, popular_fallback
 from recspark.operators.profiles import blend_query_vectors, profile_vectors
-from recspark.operators.ranking import best_first, exclude_items, top_per_group
+from recspark.operators.ranking import best_first, exclude_items, keep_items, top_per_group
 from recspark.operators.compare import pooled_candidates
 from recspark.operators.search import exact_topk, search
 from recspark.session import checkpointed
@@ -26,41 +26,54 @@ TOP = 10
 # Prefixes of the extra phrasings of a query.
 PHRASINGS = ["", "sustainable ", "high-quality "]
 
-Retrieval = Callable[[DataFrame, DataFrame | None], DataFrame]
+# (queries, excluded ids or None, number of queries if known) -> (query_id, asin, score)
+Retrieval = Callable[[DataFrame, DataFrame | None, int | None], DataFrame]
 
 
-def retrieve_exact(vectors: DataFrame, k: int = RETRIEVAL, *, exclude_first: bool = False) -> Retrieval:
+def retrieve_exact(
+    vectors: DataFrame, k: int = RETRIEVAL, *, exclude_first: bool = False, n_items: int | None = None
+) -> Retrieval:
     """Retrieval by exact search; the exclusion comes after the cut unless `exclude_first`."""
-    return lambda queries, excluded: search(queries, vectors, k, excluded=excluded, exclude_first=exclude_first)
+
+    def run(queries: DataFrame, excluded: DataFrame | None = None, n_queries: int | None = None) -> DataFrame:
+        return search(
+            queries, vectors, k, excluded=excluded, exclude_first=exclude_first,
+            n_queries=n_queries, n_items=n_items, ranked=False,
+        )
+
+    return run
 
 
 def retrieve_cells(cells: DataFrame, centroids: DataFrame, k: int = RETRIEVAL, *, n_probe: int = 8) -> Retrieval:
     """Retrieval by probing vector cells."""
 
-    def run(queries: DataFrame, excluded: DataFrame | None) -> DataFrame:
-        found = ivf_topk(queries, cells, centroids, k, n_probe=n_probe)
-        if excluded is None:
-            return found
-        kept = exclude_items(found, excluded, ["query_id", "asin"])
-        return top_per_group(kept.drop("rank"), ["query_id"], best_first(), k)
+    def run(queries: DataFrame, excluded: DataFrame | None = None, n_queries: int | None = None) -> DataFrame:
+        found = ivf_topk(checkpointed(queries), cells, centroids, k, n_probe=n_probe).drop("rank")
+        return found if excluded is None else exclude_items(found, excluded, ["query_id", "asin"])
 
     return run
 
 
 def present(candidates: DataFrame, products: DataFrame, k: int = TOP) -> DataFrame:
-    """Known products among the candidates, the best k per query, with the display columns."""
-    extra = [c for c in ("description", "brand") if c in products.columns]
-    known = candidates.drop("rank").join(products.select("asin", *display_columns(products), *extra), "asin")
+    """Known products among the candidates, the best k per query, with the display columns.
+
+    The product columns are joined to the k rows that stay, not to all candidates.
+    """
+    known = keep_items(candidates, products, ["asin"])
     best = top_per_group(known, ["query_id"], best_first(), k)
-    return best.withColumn("explanation", F.concat(F.lit("Similarity score: "), fixed(F.col("score"), 3)))
+    return best.join(products.select("asin", *display_columns(products)), "asin").withColumn(
+        "explanation", F.concat(F.lit("Similarity score: "), fixed(F.col("score"), 3))
+    )
 
 
-def history_queries(reviews: DataFrame, vectors: DataFrame, history_k: int = HISTORY_ITEMS) -> tuple[DataFrame, DataFrame]:
-    """`(queries, excluded)`: profile vectors of all users with history, and their history items."""
-    history = recent_best(reviews.select("reviewerID", "asin", "rating", "unixReviewTime", "review_id"), history_k)
-    owned = history.select(F.col("reviewerID").alias("query_id"), "asin")
-    profiles = profile_vectors(owned, vectors, user="query_id")
-    return profiles, owned
+def history_items(reviews: DataFrame, history_k: int = HISTORY_ITEMS) -> DataFrame:
+    """`(query_id, asin)`: the history items of every user.
+
+    They are written once: the profiles and the exclusion both read these few rows, not the reviews.
+    """
+    columns = ["reviewerID", "asin", "rating", "unixReviewTime", "review_id"]
+    history = recent_best(reviews.select(*columns), history_k)
+    return checkpointed(history.select(F.col("reviewerID").alias("query_id"), "asin"))
 
 
 def recommend_history(
@@ -71,6 +84,7 @@ def recommend_history(
     k: int = TOP,
     *,
     history_k: int = HISTORY_ITEMS,
+    how: str = "mean",
     texts: DataFrame | None = None,
     exclude_all_purchases: bool = False,
 ) -> DataFrame:
@@ -78,12 +92,15 @@ def recommend_history(
 
     `texts(query_id, embedding)` blends a text query into the profiles of the users it names.
     """
-    profiles, owned = history_queries(reviews, vectors, history_k)
-    queries = profiles if texts is None else blend_query_vectors(profiles, texts)
+    owned = history_items(reviews, history_k)
+    queries = profile_vectors(owned, vectors, how, user="query_id")
+    if texts is not None:
+        queries = blend_query_vectors(queries, texts)
     excluded = owned
     if exclude_all_purchases:
-        excluded = reviews.select(F.col("reviewerID").alias("query_id"), "asin").distinct()
-    return present(retrieval(checkpointed(queries), excluded), products, k)
+        excluded = reviews.select(F.col("reviewerID").alias("query_id"), "asin")
+    n_users = owned.select("query_id").distinct().count()
+    return present(retrieval(queries, excluded, n_users), products, k)
 
 
 def recommend_item_lists(
@@ -91,9 +108,9 @@ def recommend_item_lists(
 ) -> DataFrame:
     """As `recommend_history`, for histories given as `lists(query_id, asins)`; a repeated id counts each time."""
     named = lists.select("query_id", F.explode("asins").alias("asin"))
-    known = named.join(products.select("asin"), "asin", "left_semi")
+    known = keep_items(named, products, ["asin"])
     queries = profile_vectors(known, vectors, user="query_id")
-    return present(retrieval(checkpointed(queries), named), products, k)
+    return present(retrieval(queries, named, lists.count()), products, k)
 
 
 def zero_shot(
@@ -101,7 +118,7 @@ def zero_shot(
 ) -> DataFrame:
     """Products near the text of `queries(query_id, text)`, without any history."""
     embedded = embed_texts(queries.select("query_id", "text"), "text", **embedding).drop("text")
-    return present(retrieval(checkpointed(embedded), None), products, k)
+    return present(retrieval(embedded, None, queries.count()), products, k)
 
 
 def multi_query(queries: DataFrame, vectors: DataFrame, k: int = RETRIEVAL, per_phrasing: int = 50, **embedding) -> DataFrame:
@@ -112,24 +129,31 @@ def multi_query(queries: DataFrame, vectors: DataFrame, k: int = RETRIEVAL, per_
         "text",
     ).select("query_id", "phrasing", F.concat("prefix", "text").alias("text"))
     embedded = embed_texts(phrased, "text", **embedding).drop("text")
-    keyed = checkpointed(embedded.withColumn("query_id", F.struct("query_id", "phrasing")))
-    found = exact_topk(keyed, vectors, per_phrasing).withColumn("query_id", F.col("query_id.query_id"))
+    keyed = embedded.withColumn("query_id", F.struct("query_id", "phrasing"))
+    found = exact_topk(keyed, vectors, per_phrasing, n_queries=len(PHRASINGS) * queries.count()).withColumn(
+        "query_id", F.col("query_id.query_id")
+    )
     return pooled_candidates(found, k)
 
 
 def cold_start(users: DataFrame, reviews: DataFrame, products: DataFrame, k: int = TOP) -> DataFrame:
     """The most reviewed products for every user without a review: one row per user and rank."""
     newcomers = users.select(F.col("reviewerID").alias("query_id")).distinct().join(
-        reviews.select(F.col("reviewerID").alias("query_id")), "query_id", "left_anti"
+        reviews.select(F.col("reviewerID").alias("query_id")).distinct(), "query_id", "left_anti"
     )
     ranked = newcomers.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
     # k rows: safe to broadcast.
     return ranked.join(F.broadcast(popular_fallback(products, k)), "rank")
 
 
-def with_sustainability(recommended: DataFrame, *, resort: bool = False) -> DataFrame:
-    """Annotate every result with its rule score; with `resort` the score decides the rank."""
-    scored = with_eco_score(recommended)
+def with_sustainability(recommended: DataFrame, products: DataFrame, *, resort: bool = False) -> DataFrame:
+    """Annotate every result with its product's rule score; with `resort` the score decides the rank.
+
+    Each recommended product is scored once, however many users it is recommended to.
+    """
+    wanted = keep_items(products, recommended, ["asin"])
+    scores = with_eco_score(wanted).select("asin", "sustainability_score", "short_reason")
+    scored = recommended.join(scores, "asin")
     if not resort:
         return scored
     order = Window.partitionBy("query_id").orderBy(F.col("sustainability_score").desc(), *best_first())

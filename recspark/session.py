@@ -56,3 +56,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = work_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame, *by: str, below: int = 256 * 1024 * 1024, above: int = 1024 * 1024) -> DataFrame:
+    """Spread a small table that lies in fewer splits than there are cores, such as a file of one row group.
+
+    Only for plain scans. Larger tables and tables in enough splits pass unchanged: they need no shuffle.
+    """
+    execution = table._jdf.queryExecution()
+    size = int(execution.optimizedPlan().stats().sizeInBytes())
+    if not above <= size < below or execution.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return table
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, *by)
