@@ -64,27 +64,36 @@ PHRASES = [
 ]
 
 
-def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as products; a whole document and a phrase describe each of them."""
-    documents = table(spark, sf_dir, "documents")
-    part = table(spark, sf_dir, "part").withColumn("doc_id", F.col("p_partkey") % F.lit(documents.count()))
-    slot = F.col("p_partkey") % 12
-    phrase = F.coalesce(F.get(F.array(*[F.lit(p) for p in PHRASES]), slot.cast("int")), F.lit("plain"))
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as products, without a description."""
     picture = F.concat(F.lit("https://img.example/"), text_of("p_partkey"), F.lit(".jpg"))
     images = F.when(F.col("p_size") % 3 == 0, F.array(picture, F.lit("https://img.example/back.jpg"))).when(
         F.col("p_size") % 3 == 1, F.array().cast("array<string>")
     )
-    return part.join(documents.select("doc_id", "text"), "doc_id").select(
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
         text_of("p_partkey").alias("asin"),
         F.col("p_name").alias("title"),
         F.col("p_brand").alias("brand"),
         F.col("p_type").alias("category"),
         F.col("p_retailprice").alias("price"),
-        F.concat("text", F.lit(" "), phrase).alias("description"),
         images.alias("imageURL"),
     )
 
 
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as products; a whole document and a phrase describe each of them."""
+    documents = table(spark, sf_dir, "documents")
+    slot = F.col("p_partkey") % 12
+    phrase = F.coalesce(F.get(F.array(*[F.lit(p) for p in PHRASES]), slot.cast("int")), F.lit("plain"))
+    numbered = parts(spark, sf_dir).withColumn("doc_id", F.col("p_partkey") % F.lit(documents.count()))
+    return (
+        numbered.join(documents.select("doc_id", "text"), "doc_id")
+        .withColumn("description", F.concat("text", F.lit(" "), phrase))
+        .drop("doc_id", "text", "p_partkey")
+    )
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(text_of("vec_id").alias("asin"), "embedding", "label")
 

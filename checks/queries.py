@@ -39,8 +39,10 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.build_catalogue(fx.reviews(spark, sf_dir), fx.metadata(spark, sf_dir))
 
 
-def feed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.metadata(spark, sf_dir).withColumn("image_url", catalogue.first_image())
+def feed_products(spark: SparkSession, sf_dir: str, described: bool = False) -> DataFrame:
+    """The products of the feed; the descriptions only where a query needs them."""
+    rows = fx.metadata(spark, sf_dir) if described else fx.parts(spark, sf_dir)
+    return rows.withColumn("image_url", catalogue.first_image())
 
 
 def product_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,7 +382,9 @@ def recommend_blend(spark, sf_dir):
 
 @query
 def recommend_eco(spark, sf_dir):
-    return recommend.with_sustainability(feed_recommendations(spark, sf_dir), feed_products(spark, sf_dir)).select(
+    return recommend.with_sustainability(
+        feed_recommendations(spark, sf_dir), feed_products(spark, sf_dir, described=True)
+    ).select(
         "query_id", "rank", "asin", "score", "sustainability_score", "short_reason"
     )
 
@@ -388,7 +392,7 @@ def recommend_eco(spark, sf_dir):
 @query
 def recommend_eco_resorted(spark, sf_dir):
     return recommend.with_sustainability(
-        feed_recommendations(spark, sf_dir), feed_products(spark, sf_dir), resort=True
+        feed_recommendations(spark, sf_dir), feed_products(spark, sf_dir, described=True), resort=True
     ).select(
         "query_id", "rank", "asin", "score", "sustainability_score", "short_reason"
     )
@@ -421,7 +425,7 @@ def candidate_rows(spark, sf_dir) -> DataFrame:
 
 @query
 def rerank_prompt(spark, sf_dir):
-    items = feed_products(spark, sf_dir)
+    items = feed_products(spark, sf_dir, described=True)
     candidates = candidate_rows(spark, sf_dir).join(items.select("asin", "title", "category", "description"), "asin")
     rows = history.user_history(fx.feed(spark, sf_dir), items, 20)
     summaries = history.history_summary(rows).withColumnRenamed("reviewerID", "query_id")

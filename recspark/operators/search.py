@@ -16,7 +16,7 @@ from recspark.functions.numbers import SCORE_DIGITS
 from recspark.operators.ranking import best_first, exclude_items, top_per_group
 
 BLOCK_BYTES = 16 * 1024 * 1024
-PAIRS_PER_TASK = 8_000_000
+PAIRS_PER_TASK = 2_000_000
 MAX_CELLS = 65_536
 FLAT_LIMIT = 50_000
 
@@ -95,8 +95,8 @@ def _search_kernel(digits: int):
     return kernel
 
 
-def _score_blocks(queries: DataFrame, items: DataFrame, n_tasks: int, digits: int) -> DataFrame:
-    keys = ["_cell", "_item_block", "_query_block"]
+def _score_blocks(queries: DataFrame, items: DataFrame, keys: list[str], n_tasks: int, digits: int) -> DataFrame:
+    """Bring the query block and the item block of every key together and score them."""
     schema = T.StructType(
         [
             queries.schema["query_id"],
@@ -109,15 +109,13 @@ def _score_blocks(queries: DataFrame, items: DataFrame, n_tasks: int, digits: in
     left_keys, right_keys = [f"q{key}" for key in keys], [f"i{key}" for key in keys]
     left = queries.select(
         "query_id", F.col("embedding").alias("query_vector"), "depth", *[F.col(a).alias(b) for a, b in zip(keys, left_keys)]
-    ).repartition(n_tasks, *left_keys)
+    )
     right = items.select(
-        F.col("asin"), F.col("embedding").alias("item_vector"), *[F.col(a).alias(b) for a, b in zip(keys, right_keys)]
-    ).repartition(n_tasks, *right_keys)
-    return (
-        left.groupBy(*left_keys)
-        .cogroup(right.groupBy(*right_keys))
-        .applyInArrow(_search_kernel(digits), schema)
+        "asin", F.col("embedding").alias("item_vector"), *[F.col(a).alias(b) for a, b in zip(keys, right_keys)]
     )
+    if n_tasks > 1:
+        left, right = left.repartition(n_tasks, *left_keys), right.repartition(n_tasks, *right_keys)
+    return left.groupBy(*left_keys).cogroup(right.groupBy(*right_keys)).applyInArrow(_search_kernel(digits), schema)
 
 
 def _merged(candidates: DataFrame, k: int) -> DataFrame:
@@ -135,8 +133,9 @@ def _exact_candidates(
         cores = queries.sparkSession.sparkContext.defaultParallelism
         item_blocks, query_blocks = _block_counts(n_items, n_queries, vector_dim(items), 4 * cores)
     scored = _score_blocks(
-        _one_cell(queries, item_blocks, query_blocks, True),
-        _one_cell(items, item_blocks, query_blocks, False),
+        _in_blocks(queries, "query_id", "_query_block", query_blocks, "_item_block", item_blocks),
+        _in_blocks(items, "asin", "_item_block", item_blocks, "_query_block", query_blocks),
+        ["_item_block", "_query_block"],
         min(item_blocks * query_blocks, MAX_CELLS),
         digits,
     )
@@ -163,16 +162,10 @@ def exact_topk(
     return candidates if complete else _merged(candidates, k)
 
 
-def _one_cell(df: DataFrame, item_blocks: int, query_blocks: int, is_query: bool) -> DataFrame:
-    own, own_n, other, other_n, id_column = (
-        ("_query_block", query_blocks, "_item_block", item_blocks, "query_id")
-        if is_query
-        else ("_item_block", item_blocks, "_query_block", query_blocks, "asin")
-    )
-    return (
-        df.withColumn("_cell", F.lit(0))
-        .withColumn(own, F.pmod(F.xxhash64(id_column), F.lit(own_n)).cast("int"))
-        .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
+def _in_blocks(df: DataFrame, id_column: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
+    """The row's own block by a hash of its id, and one copy of the row for each block of the other side."""
+    return df.withColumn(own, F.pmod(F.xxhash64(id_column), F.lit(own_n)).cast("int")).withColumn(
+        other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))
     )
 
 
@@ -219,7 +212,8 @@ def cell_candidates(
         .withColumn("_item_block", F.explode(F.sequence(F.lit(0), F.col("n_item_blocks") - 1)))
         .withColumnRenamed("cell", "_cell")
     )
-    return _score_blocks(placed_queries, placed_items, min(max(1, n_tasks), MAX_CELLS), digits)
+    keys = ["_cell", "_item_block", "_query_block"]
+    return _score_blocks(placed_queries, placed_items, keys, min(n_tasks, MAX_CELLS), digits)
 
 
 def topk_in_cells(queries: DataFrame, items: DataFrame, k: int = 100, *, digits: int = SCORE_DIGITS) -> DataFrame:

@@ -58,7 +58,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(table: DataFrame, *by: str, below: int = 256 * 1024 * 1024, above: int = 1024 * 1024) -> DataFrame:
+def spread(table: DataFrame, *by: str, below: int = 256 * 1024 * 1024, above: int = 4 * 1024 * 1024) -> DataFrame:
     """Spread a small table that lies in fewer splits than there are cores, such as a file of one row group.
 
     Only for plain scans. Larger tables and tables in enough splits pass unchanged: they need no shuffle.
