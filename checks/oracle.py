@@ -242,6 +242,12 @@ ORACLES["popularity_excluding"] = sql("""
       title, category, price, image_url
     FROM popular WHERE asin NOT IN (SELECT asin FROM feed)
     QUALIFY row_number() OVER (ORDER BY score DESC, asin) <= 10""")
+ORACLES["popularity_per_user"] = sql(
+    """SELECT query_id, asin, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, asin) AS INT) AS rank
+       FROM (SELECT DISTINCT reviewerID AS query_id FROM feed) u, (SELECT asin, score FROM popular) p
+       WHERE NOT EXISTS (SELECT 1 FROM recent r WHERE r.reviewerID = u.query_id AND r.asin = p.asin)
+       QUALIFY rank <= 10""",
+    recent=history_of("feed", 5))
 ORACLES["popular_fallback"] = sql("""
     SELECT CAST(rank AS INT) AS rank, asin, avg_rating AS score,
       concat('Popular product with ', num_reviews, ' reviews') AS explanation, title, category, price, image_url
@@ -344,6 +350,65 @@ ORACLES["eco_score_replies"] = sql(
        FROM (SELECT *, CAST(asin AS BIGINT) % 6 AS n FROM scored)""",
     scored=eco("meta"))
 
+ORACLES["eco_prompt"] = sql(f"""
+    SELECT asin, concat('Tu es un expert en durabilité et éco-responsabilité produit.
+
+Évalue ce produit de 0 à 10 en termes de durabilité réelle (et pas juste greenwashing).
+
+Critères pris en compte :
+
+- Matériaux recyclés, biosourcés, certifiés (GOTS, OEKO-TEX, etc.)
+
+- Empreinte carbone de fabrication et transport
+
+- Durabilité et réparabilité
+
+- Certifications officielles
+
+- Politique de la marque (B-Corp, 1% for the Planet, etc.)
+
+- Avis clients mentionnant la longévité ou l''éthique
+
+Réponds EXACTEMENT avec ce format (rien d''autre) :
+
+{{"sustainability_score": 8.7, "short_reason": "Cuir de pomme recyclé, marque B-Corp, fabriqué en Italie, réparable à vie"}}
+
+Produit :
+
+Titre : ', title, '
+
+Description : ', description, '
+
+Marque : ', brand, '
+
+Caractéristiques : ', category, '
+
+Mots-clés détectés : ', coalesce(nullif(array_to_string(list_filter({KEYWORD_LIST},
+        lambda k: contains(lower(concat(title, ' ', description)), k)), ', '), ''), 'Aucun'), '
+') AS prompt FROM meta""")
+ORACLES["criteria_prompt"] = sql("""
+    SELECT query_id, concat('Tu es un expert en shopping personnalisé ultra-précis.
+
+À partir de cette requête utilisateur (ou historique d''achats), génère 8 à 12 critères de recherche très précis et variés que l''utilisateur recherche implicitement.
+
+Réponds EXACTEMENT sous ce format JSON (rien d''autre, pas de ```json) :
+
+{
+  "expanded_criteria": [
+    "critère 1",
+    "critère 2",
+    ...
+  ]
+}
+
+Requête utilisateur : "', coalesce(nullif(text, ''), 'Aucune requête spécifique'), '"
+
+Historique récent (si disponible) : ', coalesce(titles, 'Aucun historique disponible'), '
+') AS prompt
+    FROM user_texts FULL JOIN (
+      SELECT reviewerID AS query_id, string_agg('- ' || title, chr(10) ORDER BY history_rank) AS titles
+      FROM feed_history JOIN meta USING (asin) WHERE history_rank <= 5 GROUP BY 1) USING (query_id)""")
+
 COLOURS = ["noir", "blanc", "rouge", "bleu", "vert", "marron", "beige", "gris"]
 CRITERIA = [
     ("sous|moins de|inférieur|budget|prix", "prix raisonnable ou dans le budget"),

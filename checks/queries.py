@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from recspark.functions import replies, rules, text
+from recspark.functions import prompts, replies, rules, text
 from recspark.functions.replies import with_replied_criteria, with_replied_eco_score
 from recspark.functions.rules import with_eco_score, with_search_criteria
 from recspark.operators import catalogue, cells, compare, embed, evaluate, filtering, history, popularity, rerank, search
@@ -155,6 +155,14 @@ def popularity_excluding(spark, sf_dir):
     return popularity.recommend_popular(products(spark, sf_dir), 10, bought)
 
 
+@query
+def popularity_per_user(spark, sf_dir):
+    """For every user of the feed, without the five items rated last."""
+    recent = history.recent_best(fx.feed(spark, sf_dir), 5).select(F.col("reviewerID").alias("query_id"), "asin")
+    users = history.all_users(fx.feed(spark, sf_dir)).withColumnRenamed("reviewerID", "query_id")
+    return popularity.recommend_popular_for_users(products(spark, sf_dir), users, checkpointed(recent), 10)
+
+
 @query
 def popular_fallback(spark, sf_dir):
     return popularity.popular_fallback(products(spark, sf_dir), 10)
@@ -348,6 +356,22 @@ def search_criteria_replies(spark, sf_dir):
     return with_replied_criteria(asks).select("query_id", F.array_join("criteria", "|").alias("criteria"))
 
 
+@query
+def eco_prompt(spark, sf_dir):
+    columns = {c: F.col(c) for c in ("title", "description", "brand")}
+    found = rules.eco_keywords(F.concat_ws(" ", "title", "description"))
+    prompt = prompts.eco_prompt(**columns, features=F.col("category"), keywords=found)
+    return fx.metadata(spark, sf_dir).select("asin", prompt.alias("prompt"))
+
+
+@query
+def criteria_prompt(spark, sf_dir):
+    rows = history.user_history(fx.feed(spark, sf_dir), feed_products(spark, sf_dir), 20)
+    titles = history.first_titles(rows).withColumnRenamed("reviewerID", "query_id")
+    both = fx.user_texts(spark, sf_dir).join(titles, "query_id", "full")
+    return both.select("query_id", prompts.criteria_prompt(F.col("text"), F.col("titles")).alias("prompt"))
+
+
 # Recommendations
 
 RESULT = ["query_id", "rank", "asin", "title", "score", "explanation", "category", "price", "image_url"]

@@ -150,6 +150,13 @@ def rich_query_text(
     )
 
 
+def first_titles(history: DataFrame, n: int = 5) -> DataFrame:
+    """`(reviewerID, titles)`: the titles of the first n history items, in order."""
+    first = history.filter((F.col("history_rank") <= n) & F.col("title").isNotNull())
+    listed = F.array_sort(F.collect_list(F.struct("history_rank", "title")))
+    return first.groupBy("reviewerID").agg(F.transform(listed, lambda h: h["title"]).alias("titles"))
+
+
 def all_users(reviews: DataFrame, limit: int | None = None) -> DataFrame:
     users = reviews.select("reviewerID").distinct()
     return users if limit is None else users.orderBy("reviewerID").limit(limit)

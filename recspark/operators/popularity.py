@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recspark.functions.numbers import fixed
 from recspark.functions.popularity import popularity_score
-from recspark.operators.ranking import best_first, exclude_items, top_overall
+from recspark.operators.ranking import best_first, exclude_items, top_overall, top_per_group
 
 POPULAR_POOL = 1000
 
@@ -43,6 +43,25 @@ def recommend_popular(products: DataFrame, k: int = 10, excluded: DataFrame | No
     )
 
 
+def recommend_popular_for_users(
+    products: DataFrame, users: DataFrame, excluded: DataFrame, k: int = 10
+) -> DataFrame:
+    """The k best of the popular pool for each of `users(query_id)`, without that user's `excluded(query_id, asin)`.
+
+    A user is given k products and one more per excluded id, which is enough whatever is excluded.
+    """
+    # At most POPULAR_POOL rows: safe to broadcast.
+    pool = F.broadcast(popularity_topk(products).select(F.col("rank").alias("place"), "asin", "score"))
+    ids = excluded.select("query_id", "asin").distinct()
+    own = ids.groupBy("query_id").agg(F.count("*").alias("n"))
+    depth = F.least(F.lit(POPULAR_POOL), F.lit(k) + F.coalesce("n", F.lit(0))).cast("int")
+    given = users.select("query_id").distinct().join(own, "query_id", "left").select(
+        "query_id", F.explode(F.sequence(F.lit(1), depth)).alias("place")
+    )
+    left = exclude_items(given.join(pool, "place"), ids, ["query_id", "asin"])
+    return top_per_group(left.drop("place"), ["query_id"], best_first(), k)
+
+
 def popular_fallback(products: DataFrame, k: int = 10) -> DataFrame:
     """The k most reviewed products, scored by mean rating: what a user without any input gets."""
     order = [F.col("num_reviews").desc(), F.col("asin").asc()]
