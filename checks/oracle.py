@@ -553,7 +553,9 @@ ORACLES["rerank_prompt"] = sql(
         SELECT query_id, string_agg(concat(chr(10), rank, '. ASIN: ', asin, chr(10), '   Title: ', title, chr(10),
             '   Category: ', category, chr(10), '   Description: ', left(description, 200), chr(10),
             '   Retrieval Score: ', printf('%.4f', score), chr(10)), '' ORDER BY rank) AS blocks
-        FROM candidates JOIN meta USING (asin) WHERE rank <= 100 GROUP BY query_id""")
+        FROM (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank
+              FROM candidates JOIN meta USING (asin))
+        WHERE rank <= 100 GROUP BY query_id""")
 
 REPLIED = """
     SELECT query_id, i AS position, asin,

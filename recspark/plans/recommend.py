@@ -108,8 +108,7 @@ def recommend_item_lists(
 ) -> DataFrame:
     """As `recommend_history`, for histories given as `lists(query_id, asins)`; a repeated id counts each time."""
     named = lists.select("query_id", F.explode("asins").alias("asin"))
-    known = keep_items(named, products, ["asin"])
-    queries = profile_vectors(known, vectors, user="query_id")
+    queries = profile_vectors(named, vectors, user="query_id")
     return present(retrieval(queries, named, lists.count()), products, k)
 
 
