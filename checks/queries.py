@@ -269,7 +269,7 @@ def dual_index_topk(spark, sf_dir):
 def zero_shot_topk(spark, sf_dir):
     items = product_vectors(spark, sf_dir)
     return recommend.zero_shot(
-        fx.text_queries(spark, sf_dir), products(spark, sf_dir), recommend.retrieve_exact(items)
+        fx.text_queries(spark, sf_dir), products(spark, sf_dir), recommend.retrieve_exact(items), all_known=True
     ).select("query_id", "rank", "asin", "score", "title", "explanation", "category", "price", "image_url")
 
 
@@ -451,7 +451,7 @@ def candidate_rows(spark, sf_dir) -> DataFrame:
 def rerank_prompt(spark, sf_dir):
     items = feed_products(spark, sf_dir, described=True)
     candidates = candidate_rows(spark, sf_dir).join(items.select("asin", "title", "category", "description"), "asin")
-    rows = history.user_history(fx.feed(spark, sf_dir), items, 20)
+    rows = checkpointed(history.user_history(fx.feed(spark, sf_dir), items.drop("description"), 20))
     summaries = history.history_summary(rows).withColumnRenamed("reviewerID", "query_id")
     texts = history.rich_query_text(rows).select(F.col("reviewerID").alias("query_id"), F.col("query_text").alias("query"))
     asks = with_search_criteria(texts, has_history=F.lit(True), sustainability_mode=True)

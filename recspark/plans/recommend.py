@@ -54,12 +54,13 @@ def retrieve_cells(cells: DataFrame, centroids: DataFrame, k: int = RETRIEVAL, *
     return run
 
 
-def present(candidates: DataFrame, products: DataFrame, k: int = TOP) -> DataFrame:
+def present(candidates: DataFrame, products: DataFrame, k: int = TOP, *, all_known: bool = False) -> DataFrame:
     """Known products among the candidates, the best k per query, with the display columns.
 
-    The product columns are joined to the k rows that stay, not to all candidates.
+    The product columns are joined to the k rows that stay, not to all candidates. `all_known` says that every
+    vector belongs to a product, which saves the look-up of all candidates.
     """
-    known = keep_items(candidates, products, ["asin"])
+    known = candidates if all_known else keep_items(candidates, products, ["asin"])
     best = top_per_group(known, ["query_id"], best_first(), k)
     return best.join(products.select("asin", *display_columns(products)), "asin").withColumn(
         "explanation", F.concat(F.lit("Similarity score: "), fixed(F.col("score"), 3))
@@ -87,6 +88,7 @@ def recommend_history(
     how: str = "mean",
     texts: DataFrame | None = None,
     exclude_all_purchases: bool = False,
+    all_known: bool = False,
 ) -> DataFrame:
     """Products near the profile of every user, without the items the profile was made of.
 
@@ -100,7 +102,7 @@ def recommend_history(
     if exclude_all_purchases:
         excluded = reviews.select(F.col("reviewerID").alias("query_id"), "asin")
     n_users = owned.select("query_id").distinct().count()
-    return present(retrieval(queries, excluded, n_users), products, k)
+    return present(retrieval(queries, excluded, n_users), products, k, all_known=all_known)
 
 
 def recommend_item_lists(
@@ -113,11 +115,11 @@ def recommend_item_lists(
 
 
 def zero_shot(
-    queries: DataFrame, products: DataFrame, retrieval: Retrieval, k: int = TOP, **embedding
+    queries: DataFrame, products: DataFrame, retrieval: Retrieval, k: int = TOP, *, all_known: bool = False, **embedding
 ) -> DataFrame:
     """Products near the text of `queries(query_id, text)`, without any history."""
     embedded = embed_texts(queries.select("query_id", "text"), "text", **embedding).drop("text")
-    return present(retrieval(embedded, None, queries.count()), products, k)
+    return present(retrieval(embedded, None, queries.count()), products, k, all_known=all_known)
 
 
 def multi_query(queries: DataFrame, vectors: DataFrame, k: int = RETRIEVAL, per_phrasing: int = 50, **embedding) -> DataFrame:
