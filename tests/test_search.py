@@ -87,6 +87,14 @@ def test_probing_all_cells_is_exact_and_few_cells_recall_most(spark):
     assert hits >= 0.8 * 300
 
 
+def test_few_vectors_form_one_cell(spark):
+    queries, items = random_vectors(3, seed=8, prefix="q"), random_vectors(12, seed=9)
+    q, i = frames(spark, queries, items)
+    centroids = cells.train_centroids(i)
+    assert centroids.count() == 1
+    assert collected(cells.ivf_topk(q, cells.assign_cells(i, centroids), centroids, 4)) == brute(queries, items, 4)
+
+
 def test_one_cell_with_most_items_is_split(spark, monkeypatch):
     queries, items = random_vectors(20, seed=6, prefix="q"), random_vectors(900, seed=7)
     q, i = frames(spark, queries, items)
