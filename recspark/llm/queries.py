@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recspark.llm import mixing
+from recspark.llm import mixing, warc
 from recspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,3 +24,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes from every document."""
     mixture = mixing.mix(table(spark, sf_dir, "documents"))
     return mixing.taken(mixture).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records read back from archives of all pages."""
+    records = warc.archive(table(spark, sf_dir, "pages"), split_bytes=8 << 20)
+    return records.select(
+        warc.page_of("record_id").alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        F.coalesce(F.sha2("payload", 256), "payload_digest").alias("payload_digest"),
+        "record_type",
+        F.when(F.col("record_type") == "revisit", warc.page_of("refers_to")).alias("refers_to"),
+    )
