@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recspark.llm import mixing, warc
+from recspark.llm import mixing, simhash, warc
 from recspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         F.when(F.col("record_type") == "revisit", warc.page_of("refers_to")).alias("refers_to"),
     )
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
