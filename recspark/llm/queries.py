@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recspark.llm import decontaminate, mixing, simhash, warc
-from recspark.llm.common import table
+from recspark.llm import decontaminate, langid, mixing, simhash, warc
+from recspark.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,3 +54,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; a quarter of the documents is held out from learning."""
+    documents = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    model = langid.fit(documents.filter(~held_out))
+    return langid.predict(documents, model, [F.col("doc_id"), held_out.alias("held_out")])
