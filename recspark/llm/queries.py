@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recspark.llm import decontaminate, langid, mixing, simhash, warc
+from recspark.llm import decontaminate, langid, mixing, pii, simhash, warc
 from recspark.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +63,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 4) == 2
     model = langid.fit(documents.filter(~held_out))
     return langid.predict(documents, model, [F.col("doc_id"), held_out.alias("held_out")])
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates in place of personal data, and how many mentions were replaced."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(pii.mentions("text")).alias("n_mentions"))
+    return pii.pseudonymise(documents, "op4")
