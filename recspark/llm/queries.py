@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recspark.llm import decontaminate, langid, mixing, pii, simhash, warc
+from recspark.llm import decontaminate, langid, mixing, pii, quality, simhash, warc
 from recspark.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates in place of personal data, and how many mentions were replaced."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(pii.mentions("text")).alias("n_mentions"))
     return pii.pseudonymise(documents, "op4")
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of trusted text, and whether it is kept."""
+    found = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.drop("text_hash")
