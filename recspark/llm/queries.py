@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recspark.llm import decontaminate, langid, mixing, pii, quality, simhash, warc
+from recspark.llm import ann, decontaminate, hmm, langid, mixing, pii, quality, simhash, warc
 from recspark.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,18 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under a model of trusted text, and whether it is kept."""
     found = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.drop("text_hash")
+
+
+@query
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    vectors = ann.usable(table(spark, sf_dir, "embeddings"))
+    return ann.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+@query
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document; a seventh of the documents is held out from learning."""
+    documents = table(spark, sf_dir, "documents")
+    found = hmm.score(documents, documents.filter(remainder("doc_id", 7) != 2))
+    return found.withColumn("held_out", remainder("doc_id", 7) == 2)
