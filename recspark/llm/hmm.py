@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -38,8 +39,10 @@ COUNTED = 500_000  # distinct words that a task holds before it hands them on
 class Vocabulary:
     """What every task needs of the word counts; bounded by `lookup` words."""
 
-    counts: dict[bytes, int]  # the most frequent words
-    own: dict[bytes, int]  # symbols of the most frequent of them
+    index: dict[bytes, int]  # rank of each of the most frequent words
+    counts: np.ndarray  # their counts
+    symbols: np.ndarray  # their symbols: the first `own` are symbols of their own
+    own: int
     classes: int
     class_total: np.ndarray  # count of all words of a class + their number + 1
     unigram: np.ndarray  # share of every symbol
@@ -49,7 +52,7 @@ class Vocabulary:
 
     @property
     def end(self) -> int:
-        return len(self.own) + self.classes
+        return self.own + self.classes
 
 
 def words(text: str | None) -> list[bytes]:
@@ -88,8 +91,8 @@ def count_words(training: DataFrame, classes: int) -> DataFrame:
 
 def vocabulary(counted: DataFrame, documents: int, own: int, lookup: int, classes: int) -> Vocabulary:
     top = counted.orderBy(F.desc("n"), "word").limit(lookup).collect()
-    counts = {bytes(r["word"]): r["n"] for r in top}
-    symbols = {bytes(r["word"]): i for i, r in enumerate(top[:own])}
+    own = min(own, len(top))
+    symbols = np.array([i if i < own else own + r["class"] for i, r in enumerate(top)], dtype=np.int64)
     in_class, kinds = np.zeros(classes, dtype=np.int64), np.zeros(classes, dtype=np.int64)
     for r in counted.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         in_class[r["class"]], kinds[r["class"]] = r["n"], r["v"]
@@ -99,16 +102,24 @@ def vocabulary(counted: DataFrame, documents: int, own: int, lookup: int, classe
         kinds[r["class"]] -= 1
     share = np.array([*[r["n"] for r in top[:own]], *in_class, documents], dtype=np.float64) + 1
     return Vocabulary(
-        counts, symbols, classes, in_class + kinds + 1, share / share.sum(), total + documents, distinct + (documents > 0), documents
+        {bytes(r["word"]): i for i, r in enumerate(top)}, np.array([r["n"] for r in top], dtype=np.int64), symbols, own,
+        classes, in_class + kinds + 1, share / share.sum(), total + documents, distinct + (documents > 0), documents
     )
 
 
-def symbols_of(found: list[bytes], v: Vocabulary) -> np.ndarray:
-    first, own, classes = len(v.own), v.own.get, v.classes
-    out = np.fromiter((own(w, -1) for w in found), dtype=np.int64, count=len(found))
-    for i in np.flatnonzero(out < 0).tolist():
-        out[i] = first + ending(found[i], classes)
-    return np.append(out, v.end)
+def ranks_of(found: list[bytes], v: Vocabulary) -> np.ndarray:
+    """Rank of every word, -1 for rare ones."""
+    return np.fromiter(map(v.index.get, found, repeat(-1)), dtype=np.int64, count=len(found))
+
+
+def symbols_of(found: list[bytes], v: Vocabulary, ranks: np.ndarray | None = None) -> np.ndarray:
+    ranks = ranks_of(found, v) if ranks is None else ranks
+    out = np.full(len(found) + 1, v.end)
+    common = ranks >= 0
+    out[:-1][common] = v.symbols[ranks[common]]
+    for i in np.flatnonzero(~common).tolist():
+        out[i] = v.own + ending(found[i], v.classes)
+    return out
 
 
 @dataclass
@@ -265,18 +276,19 @@ def score(
     def run(ids: list, texts: list, first: int) -> pa.RecordBatch:
         model, v = shared.value
         sequences, out = [], []
+        count_logs, class_logs = np.log10(v.counts + 1.0), np.log10(v.class_total)
         for n, (doc_id, text) in enumerate(zip(ids, texts)):
             found = words(text)
-            sequence = symbols_of(found, v)
+            ranks = ranks_of(found, v)
+            sequence = symbols_of(found, v, ranks)
             sequences.append(sequence)
-            counts = Counter(found)
-            rare = {w: k for w, k in counts.items() if w not in v.counts}
-            logs = sum(k * np.log10(v.counts[w] + 1.0) for w, k in counts.items() if w in v.counts) + np.log10(v.ends + 1.0)
-            known = sum(k for w, k in counts.items() if w in v.counts) + (v.ends > 0)
+            common = ranks[ranks >= 0]
+            rare = Counter([found[i] for i in np.flatnonzero(ranks < 0).tolist()])
+            logs = float(count_logs[common].sum() + np.log10(v.ends + 1.0))
             # Inside its class a word has (count + 1) / class_total; counts of the rare ones are added after the join.
-            inside = sum(k * np.log10(v.counts[w] + 1.0) for w, k in counts.items() if w in v.counts and w not in v.own)
-            classed = sequence[(sequence >= len(v.own)) & (sequence < v.end)] - len(v.own)
-            inside -= np.log10(v.class_total[classed]).sum()
+            classed = sequence[:-1][sequence[:-1] >= v.own] - v.own
+            inside = float(count_logs[common[common >= v.own]].sum() - class_logs[classed].sum())
+            known = len(common) + (v.ends > 0)
             out.append([doc_id, first + n, len(found) + 1, known, logs, inside, list(rare), list(rare.values())])
         for group in batches_of(sequences):
             logs, _, _ = forward(*_padded(sequences, group), model)
