@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recspark.llm import ann, decontaminate, hmm, langid, mixing, pii, quality, simhash, warc
+from recspark.llm import ann, chat, decontaminate, hmm, langid, mixing, pii, quality, simhash, warc
 from recspark.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +93,17 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = hmm.score(documents, documents.filter(remainder("doc_id", 7) != 2))
     return found.withColumn("held_out", remainder("doc_id", 7) == 2)
+
+
+@query
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the perspective of every participant."""
+    found = chat.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string")))
+    return found.select("conv_id", "speaker", "part", "n_turns", "text", F.array_join(spans, ",").alias("spans"), "masked")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, one after the other."""
+    return corpus_pipeline.run(spark, sf_dir)
