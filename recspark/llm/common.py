@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,16 @@ def remainder(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % parts
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """A written table of few columns, broadcast if its row count is within BROADCAST_ROWS; else Spark joins by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def same_document(rows: DataFrame) -> Column:
+    """Whether a document is the one that the columns __id and __hash (of the text) name."""
+    return F.col("doc_id").eqNullSafe(rows["__id"]) & (F.xxhash64("text") == rows["__hash"])
+
+
 def chunks_for(rows: int, per_chunk: int = 20_000) -> int:
     return max(1, -(-rows // per_chunk))
 

@@ -18,12 +18,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recspark.llm.common import bounded, same_document
 from recspark.session import checkpointed
 
 # Fixed value: a word is a run of ASCII letters, digits and anything outside ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 1_000_000
 
 
 def words(text: str) -> Column:
@@ -31,11 +31,6 @@ def words(text: str) -> Column:
     return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
 
 
-def _bounded(rows: DataFrame) -> DataFrame:
-    """Broadcast a written table if its row count allows it; else Spark joins by a shuffle."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def shingles(items: Column, count: Column, width: int) -> Column:
     """Hashes of all runs of `width` words, in order."""
     hashed = F.transform(
@@ -74,7 +69,7 @@ def occurrences(documents: DataFrame, items: DataFrame, width: int = 10, shingle
             "n", "window", F.posexplode(shingles(F.col("words"), F.col("n"), size)).alias("offset", "token")
         )
         tokens = _tokens(documents, size)
-        asked = _bounded(checkpointed(mine.select("token").distinct()))
+        asked = bounded(checkpointed(mine.select("token").distinct()))
         rarity = checkpointed(tokens.join(asked, "token").groupBy("token").agg(F.count("*").alias("found")))
         # Windows with a shingle that no document has cannot occur.
         counted = mine.join(rarity, "token", "left").withColumn("found", F.coalesce("found", F.lit(0)))
@@ -82,7 +77,7 @@ def occurrences(documents: DataFrame, items: DataFrame, width: int = 10, shingle
         places = rarest.filter("rarest.found > 0").select("rarest.token", "rarest.offset", "n").distinct()
         prefix = places.groupBy("token").agg(F.collect_list(F.struct("offset", "n")).alias("places"))
         found = (
-            tokens.join(_bounded(checkpointed(prefix)), "token")
+            tokens.join(bounded(checkpointed(prefix)), "token")
             .select("id", "hash", "n_words", "at", F.explode("places").alias("place"))
             .select("id", "hash", "n_words", (F.col("at") - F.col("place.offset")).alias("start"), F.col("place.n").alias("n"))
             .filter("start >= 0 AND start + n <= n_words")
@@ -92,9 +87,12 @@ def occurrences(documents: DataFrame, items: DataFrame, width: int = 10, shingle
     schema = "id long, hash long, start int, n int, window string"
     if candidates is None:
         return documents.sparkSession.createDataFrame([], schema)
-    grouped = candidates.groupBy("id", "hash").agg(F.collect_set(F.struct("start", "n")).alias("places"))
-    texts = documents.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"), "text").join(
-        checkpointed(grouped), F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("hash"))
+    grouped = checkpointed(candidates.groupBy("id", "hash").agg(F.collect_set(F.struct("start", "n")).alias("places")))
+    # Only texts of documents with a candidate are dealt out.
+    keys = bounded(grouped.select(F.col("id").alias("__id"), F.col("hash").alias("__hash")))
+    texts = documents.select("doc_id", "text").join(keys, same_document(keys), "left_semi")
+    texts = texts.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"), "text").join(
+        grouped, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("hash"))
     )
     read = texts.select("id", "hash", "places", words("text").alias("words"))
     spelt = read.select(
@@ -106,7 +104,7 @@ def occurrences(documents: DataFrame, items: DataFrame, width: int = 10, shingle
             )
         ).alias("place"),
     ).select("id", "hash", "place.*")
-    known = _bounded(checkpointed(cut.select("window", F.col("n").alias("__n"))))
+    known = bounded(checkpointed(cut.select("window", F.col("n").alias("__n"))))
     return spelt.join(known, "window", "left_semi").distinct()
 
 
@@ -129,7 +127,7 @@ def contamination(documents: DataFrame, items: DataFrame, width: int = 10) -> Da
     found = checkpointed(occurrences(documents, items, width))
     owners = checkpointed(windows(items, width).select("window", "item_id"))
     hits = (
-        found.join(_bounded(owners), "window")
+        found.join(bounded(owners), "window")
         .groupBy("id", "hash")
         .agg(F.collect_set(F.struct("start", "n")).alias("places"), F.collect_set("item_id").alias("items"))
         .select("id", "hash", covered(F.col("places")).alias("n_hit"), F.array_sort("items").alias("items"))
@@ -150,6 +148,5 @@ def contamination(documents: DataFrame, items: DataFrame, width: int = 10) -> Da
 def drop_contaminated(documents: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The documents without those that hold a window of an item."""
     bad = occurrences(documents, items, width).select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct()
-    return documents.join(
-        checkpointed(bad), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti"
-    )
+    bad = bounded(checkpointed(bad))
+    return documents.join(bad, same_document(bad), "left_anti")

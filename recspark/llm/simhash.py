@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recspark.llm.common import bounded, same_document
 from recspark.llm.components import components
 from recspark.session import checkpointed
 
@@ -228,18 +229,23 @@ def near_duplicates(documents: DataFrame, width: int = 4, radius: int = 4, piece
 def keep_one(documents: DataFrame, width: int = 4, radius: int = 4, pieces: int = 6) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest id stays."""
     found = near_duplicates(documents, width, radius, pieces)
+    keys = found.groupBy("doc_id", "text_hash", "component").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
+    keys = checkpointed(keys)
     kept = (
-        found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        keys.filter(F.col("doc_id").eqNullSafe(F.col("least")))
         .groupBy("component")
-        .agg(F.min(F.struct("doc_id", "text_hash")).alias("__kept"))
-        .select(F.col("__kept.doc_id").alias("__id"), F.col("__kept.text_hash").alias("__hash"))
-    )
-    once = Window.partitionBy("__id", "__hash").orderBy(F.lit(0))
-    return (
-        documents.join(
-            kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-        )
-        .withColumn("__nth", F.row_number().over(once))
-        .filter("__nth = 1")
-        .drop("__id", "__hash", "__nth")
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
+        .select("component", F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash"))
     )
+    judged = keys.join(kept.withColumnRenamed("component", "__c"), F.col("component") == F.col("__c")).select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"),
+        (F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))).alias("stays"), "n",
+    )
+    judged = checkpointed(judged.filter("NOT stays OR n > 1"))
+    gone = bounded(judged.select("__id", "__hash"))
+    rest = documents.join(gone, same_document(gone), "left_anti")
+    # Of rows that are equal in id and text, one stays.
+    repeated = bounded(judged.filter("stays").select("__id", "__hash"))
+    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    firsts = documents.join(repeated, same_document(repeated), "left_semi").withColumn("__nth", F.row_number().over(once))
+    return rest.unionByName(firsts.filter("__nth = 1").drop("__nth"))
