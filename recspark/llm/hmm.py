@@ -90,20 +90,31 @@ def count_words(training: DataFrame, classes: int) -> DataFrame:
 
 
 def vocabulary(counted: DataFrame, documents: int, own: int, lookup: int, classes: int) -> Vocabulary:
-    top = counted.orderBy(F.desc("n"), "word").limit(lookup).collect()
-    own = min(own, len(top))
-    symbols = np.array([i if i < own else own + r["class"] for i, r in enumerate(top)], dtype=np.int64)
+    # The least count whose words, with all more frequent ones, are `lookup` at most; counts go by steps of an eighth octave.
+    step = F.floor(F.log2("n") * 8).cast("int")
+    sizes = dict(counted.groupBy(step.alias("step")).agg(F.count("*")).collect())
+    least, words_so_far = max(sizes, default=0) + 1, 0
+    for at in sorted(sizes, reverse=True):
+        words_so_far += sizes[at]
+        if words_so_far > lookup:
+            break
+        least = at
+    top = counted.filter(step >= least).toPandas()
+    top["word"] = top["word"].map(bytes)
+    top = top.sort_values(["n", "word"], ascending=[False, True])
+    ranked, times, kinds_of = top["word"].tolist(), top["n"].to_numpy(np.int64), top["class"].to_numpy(np.int64)
+    own = min(own, len(ranked))
+    symbols = np.where(np.arange(len(ranked)) < own, np.arange(len(ranked)), own + kinds_of)
     in_class, kinds = np.zeros(classes, dtype=np.int64), np.zeros(classes, dtype=np.int64)
     for r in counted.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         in_class[r["class"]], kinds[r["class"]] = r["n"], r["v"]
     total, distinct = int(in_class.sum()), int(kinds.sum())
-    for r in top[:own]:
-        in_class[r["class"]] -= r["n"]
-        kinds[r["class"]] -= 1
-    share = np.array([*[r["n"] for r in top[:own]], *in_class, documents], dtype=np.float64) + 1
+    np.subtract.at(in_class, kinds_of[:own], times[:own])
+    np.subtract.at(kinds, kinds_of[:own], 1)
+    share = np.concatenate([times[:own], in_class, [documents]]).astype(np.float64) + 1
     return Vocabulary(
-        {bytes(r["word"]): i for i, r in enumerate(top)}, np.array([r["n"] for r in top], dtype=np.int64), symbols, own,
-        classes, in_class + kinds + 1, share / share.sum(), total + documents, distinct + (documents > 0), documents
+        {w: i for i, w in enumerate(ranked)}, times, symbols, own, classes, in_class + kinds + 1, share / share.sum(),
+        total + documents, distinct + (documents > 0), documents,
     )
 
 
@@ -261,7 +272,7 @@ def train(training: DataFrame, v: Vocabulary, states: int, rounds: int, sample_r
 
 
 def score(
-    documents: DataFrame, training: DataFrame, states: int = 8, rounds: int = 4, own: int = 8192, lookup: int = 200_000,
+    documents: DataFrame, training: DataFrame, states: int = 8, rounds: int = 4, own: int = 8192, lookup: int = 150_000,
     classes: int = 1024, sample_rows: int = 1000, pseudo: float = 100.0,
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score; logarithms to base 10."""
