@@ -121,11 +121,11 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text per user: the opening turn of the conversation of the same number."""
+    """One text per user: all turns of the conversation of the same number, in order."""
     return (
         table(spark, sf_dir, "conversations")
         .groupBy(text_of("conv_id").alias("query_id"))
-        .agg(F.min_by("text", "turn").alias("text"))
+        .agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY turn)").alias("text"))
     )
 
 

@@ -32,7 +32,7 @@ BLOCKS: dict[str, str] = {
     "customers": "SELECT CAST(c_custkey AS VARCHAR) AS reviewerID FROM customer",
     "text_queries": "SELECT concat(conv_id, '-', turn) AS query_id, text FROM conversations",
     "user_texts": """
-        SELECT CAST(conv_id AS VARCHAR) AS query_id, arg_min(text, turn) AS text FROM conversations GROUP BY 1""",
+        SELECT CAST(conv_id AS VARCHAR) AS query_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1""",
     # catalogue
     "digest": """
         SELECT asin, string_agg(reviewText, ' | ' ORDER BY rn) AS all_reviews FROM (
@@ -42,8 +42,8 @@ BLOCKS: dict[str, str] = {
         SELECT s.asin, round(s.m, 6) + 0.0 AS avg_rating, s.n AS num_reviews, all_reviews, title, brand, category, price,
           description, image_url,
           concat('Title: ', title, ' | Brand: ', brand, ' | Category: ', category, ' | Description: ',
-            CASE WHEN length(description) > 500 THEN concat(left(description, 500), '...') ELSE description END,
-            ' | Reviews: ', left(all_reviews, 300)) AS text_for_embedding
+            description,
+            ' | Reviews: ', all_reviews) AS text_for_embedding
         FROM (SELECT asin, avg(rating) AS m, count(rating) AS n FROM reviews GROUP BY asin
               HAVING count(rating) >= 2 AND avg(rating) >= 3.0) s
         JOIN digest USING (asin) JOIN meta USING (asin)""",
@@ -67,14 +67,14 @@ def history_of(source: str, k: int) -> str:
 
 def embedded(source: str, key: str, text: str) -> str:
     """Unit vectors of hashed token counts, as float lists of length 64."""
-    return f"""
+    return rf"""
         SELECT {key}, list(CAST(CASE WHEN length2 > 0 THEN n / sqrt(length2) ELSE 0 END AS FLOAT) ORDER BY d) AS embedding
         FROM (
           SELECT g.{key}, g.d, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0) * coalesce(c.n, 0)) OVER (PARTITION BY g.{key}) AS length2
           FROM (SELECT {key}, unnest(range(64)) AS d FROM {source}) g
           LEFT JOIN (
             SELECT {key}, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 64 AS d, CAST(count(*) AS DOUBLE) AS n
-            FROM (SELECT {key}, unnest(string_split_regex(lower({text}), '[^a-z0-9]+')) AS tok FROM {source})
+            FROM (SELECT {key}, unnest(string_split_regex(lower({text}), '[^\p{{L}}\p{{N}}]+')) AS tok FROM {source})
             WHERE tok <> '' GROUP BY 1, 2) c ON c.{key} = g.{key} AND c.d = g.d)
         GROUP BY {key}"""
 

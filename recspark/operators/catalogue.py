@@ -64,10 +64,12 @@ def build_catalogue(
     *,
     category: str = DEFAULT_CATEGORY,
     dedupe: bool = False,
+    description_limit: int | None = None,
+    reviews_limit: int | None = None,
 ) -> DataFrame:
     """Products with enough and good enough reviews, joined with their metadata and described as text.
 
-    Repeated metadata rows of a product stay repeated unless `dedupe` is set.
+    Repeated metadata rows of a product stay repeated unless `dedupe` is set. The limits cut the text; none by default.
     """
     stats = product_stats(reviews, min_reviews, min_rating)
     described = metadata.drop("avg_rating", "num_reviews")
@@ -87,7 +89,7 @@ def build_catalogue(
         .withColumn("description", F.coalesce("description", "all_reviews", F.lit("")))
         .withColumn("category", F.coalesce("category", F.lit(category)))
     )
-    text = product_text(*(F.col(c) for c in ("title", "brand", "category", "description", "all_reviews")))
+    text = product_text(*(F.col(c) for c in ("title", "brand", "category", "description", "all_reviews")), description_limit, reviews_limit)
     return filled.withColumn("text_for_embedding", text).withColumn("image_url", first_image())
 
 
@@ -103,7 +105,7 @@ def one_per_product(metadata: DataFrame) -> DataFrame:
 
 
 def build_catalogue_relaxed(reviews: DataFrame, metadata: DataFrame, min_reviews: int = 1, **options) -> DataFrame:
-    """As `build_catalogue`; if nothing passes the filter, every reviewed product is kept."""
+    """As `build_catalogue`; if nothing passes the filter, every reviewed product is kept. No plan calls this by itself."""
     products = build_catalogue(reviews, metadata, min_reviews, **options)
     if products.isEmpty():
         return build_catalogue(reviews, metadata, 1, 0.0, **options)

@@ -9,7 +9,8 @@ from recspark.functions.numbers import fixed
 from recspark.functions.popularity import popularity_score
 from recspark.operators.ranking import best_first, exclude_items, top_overall, top_per_group
 
-POPULAR_POOL = 1000
+POPULAR_POOL = 1000  # what the ranking of the most popular products shows
+BROADCAST_ROWS = 100_000
 
 
 def display_columns(products: DataFrame) -> list[Column]:
@@ -30,8 +31,8 @@ def popularity_topk(products: DataFrame, n: int = POPULAR_POOL) -> DataFrame:
 
 
 def recommend_popular(products: DataFrame, k: int = 10, excluded: DataFrame | None = None) -> DataFrame:
-    """The k best of the popular pool after the exclusion of `excluded(asin)`."""
-    pool = popularity_topk(products).drop("rank")
+    """The k most popular products besides `excluded(asin)`; the exclusion comes first, so k remain if there are k."""
+    pool = products.withColumn("score", popularity_score(F.col("avg_rating"), F.col("num_reviews")))
     if excluded is not None:
         pool = exclude_items(pool, excluded, ["asin"])
     note = F.concat(
@@ -46,15 +47,18 @@ def recommend_popular(products: DataFrame, k: int = 10, excluded: DataFrame | No
 def recommend_popular_for_users(
     products: DataFrame, users: DataFrame, excluded: DataFrame, k: int = 10
 ) -> DataFrame:
-    """The k best of the popular pool for each of `users(query_id)`, without that user's `excluded(query_id, asin)`.
+    """The k most popular products for each of `users(query_id)`, without that user's `excluded(query_id, asin)`.
 
-    A user is given k products and one more per excluded id, which is enough whatever is excluded.
+    A user is given k products and one more per excluded id, which is enough whatever is excluded; the pool is as deep as
+    the user with most exclusions needs.
     """
-    # At most POPULAR_POOL rows: safe to broadcast.
-    pool = F.broadcast(popularity_topk(products).select(F.col("rank").alias("place"), "asin", "score"))
     ids = excluded.select("query_id", "asin").distinct()
     own = ids.groupBy("query_id").agg(F.count("*").alias("n"))
-    depth = F.least(F.lit(POPULAR_POOL), F.lit(k) + F.coalesce("n", F.lit(0))).cast("int")
+    deepest = k + (own.agg(F.max("n")).first()[0] or 0)
+    pool = popularity_topk(products, deepest).select(F.col("rank").alias("place"), "asin", "score")
+    if deepest <= BROADCAST_ROWS:
+        pool = F.broadcast(pool)
+    depth = (F.lit(k) + F.coalesce("n", F.lit(0))).cast("int")
     given = users.select("query_id").distinct().join(own, "query_id", "left").select(
         "query_id", F.explode(F.sequence(F.lit(1), depth)).alias("place")
     )

@@ -97,7 +97,7 @@ def catalogue_inputs(spark):
 
 def test_catalogue_fills_and_filters(spark):
     reviews, metadata = catalogue_inputs(spark)
-    rows = {r["asin"]: r for r in build_catalogue(reviews, metadata, 1, 0.0).collect()}
+    rows = {r["asin"]: r for r in build_catalogue(reviews, metadata, 1, 0.0, description_limit=500, reviews_limit=300).collect()}
     assert sorted(rows) == ["a", "b"]
     assert rows["a"]["title"] == "Untitled Product" and rows["a"]["category"] == "Electronics"
     assert rows["a"]["text_for_embedding"] == (
@@ -156,5 +156,19 @@ def test_batch_from_raw_files_and_from_the_stored_catalogue(spark, tmp_path):
     assert methods == {"popularity", "filtering"}
     products, reviews = load_or_build_catalogue(spark, str(tmp_path), target)
     assert products.count() == batch.products.count() and reviews.count() == len(lines)
-    again = run_batch(spark, str(tmp_path), target, index, k=5, n_components=10, n_probe=4)
-    assert again.recommendations.count() > 0
+
+
+def test_a_second_batch_gives_the_same_rows(spark, tmp_path):
+    lines = [
+        {"reviewerID": f"u{i}", "asin": f"p{(37 * i + 11 * j) % 600}", "overall": 3 + (i + j) % 3, "reviewText": f"word{i} thing{j}", "unixReviewTime": i * 100 + j}
+        for i in range(80) for j in range(20)
+    ]
+    write(tmp_path / "reviews.json", lines)
+    write(tmp_path / "metadata.json", [{"asin": f"p{i}", "title": f"thing{i % 97} of kind{i % 31}", "category": ["c", str(i % 7)]} for i in range(600)])
+    target, index = str(tmp_path / "out" / "catalogue.parquet"), str(tmp_path / "out" / "index")
+    runs = []
+    for how in ("exact", "exact", "cells", "cells"):
+        batch = run_batch(spark, str(tmp_path), target, index, index=how, k=5, n_components=10)
+        runs.append(sorted(tuple(r) for r in batch.recommendations.select("query_id", "rank", "asin", "score").collect()))
+    assert batch.products.count() > 500
+    assert runs[0] == runs[1] and runs[2] == runs[3] and runs[0]
