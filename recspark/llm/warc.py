@@ -32,6 +32,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DATE = "2024-01-01T00:00:00Z"
 
 READ = 1 << 20
+NO_PAGE = -(1 << 63)  # stands for a null page id as a key
 HEADER_LIMIT = 1 << 16
 RECORD = (
     "path string, offset long, record_type string, record_id string, target_uri string, refers_to string, "
@@ -42,11 +43,11 @@ RECORD = (
 def with_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """Rows to write: page_id, url, payload, digest, copy, is_revisit and the id of the first page with that payload.
 
-    Payloads are dealt out once, by page id; digests decide which pages share one.
+    Payloads are dealt out once, by page id, for the join and the copy numbers alike; digests decide which pages share one.
     """
     rows = pages.select(
         "page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload")
-    ).withColumn("digest", F.sha2("payload", 256))
+    ).withColumns({"digest": F.sha2("payload", 256), "__key": F.coalesce("page_id", F.lit(NO_PAGE))})
     slim = rows.filter(F.length("payload") >= least_bytes).select("page_id", "digest")
     first = (
         slim.groupBy("digest")
@@ -56,13 +57,13 @@ def with_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     )
     shared = (
         slim.join(first, "digest")
-        .groupBy(F.col("page_id").alias("__page"))
+        .groupBy(F.coalesce("page_id", F.lit(NO_PAGE)).alias("__key"))
         .agg(F.map_from_entries(F.collect_set(F.struct("digest", "first_id"))).alias("firsts"))
     )
-    copies = Window.partitionBy("page_id", "digest").orderBy("url")
+    copies = Window.partitionBy("__key", "digest").orderBy("url")
     first_id = F.element_at("firsts", F.col("digest"))
     return (
-        rows.join(shared, F.col("page_id").eqNullSafe(F.col("__page")), "left")
+        rows.join(shared, "__key", "left")
         .withColumn("copy", F.row_number().over(copies) - 1)
         .withColumn("is_shared", F.coalesce(F.array_contains(F.map_keys("firsts"), F.col("digest")), F.lit(False)))
         .withColumn("first_id", first_id)
