@@ -135,6 +135,17 @@ def item_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(text_of("c_custkey").alias("query_id"), F.array(*ids).alias("asins"))
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per customer: a user, an item list, both or neither, and a text where there is a conversation."""
+    slot = F.col("query_id").cast("bigint") % 4
+    return item_lists(spark, sf_dir).join(user_texts(spark, sf_dir), "query_id", "left").select(
+        "query_id",
+        F.when(slot.isin(0, 3), F.col("query_id")).alias("reviewerID"),
+        F.when(slot.isin(1, 3), F.col("asins")).alias("asins"),
+        "text",
+    )
+
+
 def fragment(name: str, value: Column) -> Column:
     """`"name":value` of a JSON object; null when the value is null."""
     inner = F.to_json(F.struct(value.alias(name)))

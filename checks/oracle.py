@@ -113,6 +113,17 @@ def presented(candidates: str, products: str, k: int = 10) -> str:
         FROM (SELECT * EXCLUDE (rank) FROM {candidates}) JOIN {products} USING (asin) QUALIFY rank <= {k}"""
 
 
+def blended_with(profiles: str, texts: str) -> str:
+    """Profiles mixed with the text of the same query and scaled; a profile without a text stays as it is."""
+    return f"""
+        SELECT query_id, list_transform(mixed, lambda x: x / (sqrt(list_inner_product(mixed, mixed)) + 1e-8)) AS embedding
+        FROM (SELECT query_id, list_transform(list_zip(p.embedding, CAST(t.embedding AS DOUBLE[])),
+                lambda z: z[1] * 0.7 + z[2] * 0.3) AS mixed
+              FROM {profiles} p JOIN {texts} t USING (query_id))
+        UNION ALL
+        SELECT query_id, embedding FROM {profiles} WHERE query_id NOT IN (SELECT query_id FROM {texts})"""
+
+
 BLOCKS |= {
     "shop_history10": history_of("reviews", 10),
     "shop_history20": history_of("reviews", 20),
@@ -123,13 +134,7 @@ BLOCKS |= {
     "product_vectors": embedded("products", "asin", "text_for_embedding"),
     "text_vectors": embedded("text_queries", "query_id", "text"),
     "user_text_vectors": embedded("user_texts", "query_id", "text"),
-    "blended": """
-        SELECT query_id, CASE WHEN t.embedding IS NULL THEN p.embedding ELSE list_transform(mixed, lambda x:
-            x / (sqrt(list_inner_product(mixed, mixed)) + 1e-8)) END AS embedding
-        FROM (SELECT p.query_id, p.embedding, list_transform(list_zip(p.embedding, CAST(t.embedding AS DOUBLE[])),
-                lambda z: z[1] * 0.7 + z[2] * 0.3) AS mixed
-              FROM mean_profiles p LEFT JOIN user_text_vectors t USING (query_id)) p
-        LEFT JOIN user_text_vectors t USING (query_id)""",
+    "blended": blended_with("mean_profiles", "user_text_vectors"),
     "mean_found": nearest("mean_profiles", "vectors", 100),
     "max_found": nearest("max_profiles", "vectors", 100),
     "candidates": without("mean_found", "owned"),
@@ -478,13 +483,40 @@ ORACLES["recommend_eco_resorted"] = sql(
     """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sustainability_score DESC, score DESC, asin) AS INT)
          AS rank, asin, score, sustainability_score, short_reason FROM scored""",
     scored=eco("recommended"))
+LISTED = """
+    SELECT CAST(c_custkey AS VARCHAR) AS query_id, CAST((c_custkey * 13 + i * 7) % 2500 AS VARCHAR) AS asin
+    FROM customer, (VALUES (0), (1), (2), (3), (4), (0)) n(i)"""
+# Every customer without a row among those shown gets the most reviewed products.
+ANSWERED = f"""
+    SELECT {RESULT} FROM shown
+    UNION ALL
+    SELECT c.reviewerID, CAST(rank AS INT), asin, title, avg_rating, concat('Popular product with ', num_reviews, ' reviews'),
+      category, price, image_url
+    FROM customers c, most_reviewed WHERE c.reviewerID NOT IN (SELECT query_id FROM shown)"""
 ORACLES["history_by_item_list"] = sql(
-    f"SELECT {RESULT} FROM shown",
-    named="""
-        SELECT CAST(c_custkey AS VARCHAR) AS query_id, CAST((c_custkey * 13 + i * 7) % 2500 AS VARCHAR) AS asin
-        FROM customer, (VALUES (0), (1), (2), (3), (4), (0)) n(i)""",
+    ANSWERED,
+    named=LISTED,
     profiles=aggregated("named", "avg"),
     found=nearest("profiles", "vectors", 100), left_over=without("found", "named"), shown=presented("left_over", "meta"))
+ORACLES["recommend_requests"] = sql(
+    ANSWERED,
+    listing=LISTED,
+    requests="""
+        SELECT reviewerID AS query_id, CAST(reviewerID AS BIGINT) % 4 IN (0, 3) AS by_user,
+          CAST(reviewerID AS BIGINT) % 4 IN (1, 3) AS by_list, text
+        FROM customers LEFT JOIN user_texts ON query_id = reviewerID""",
+    named="""
+        SELECT query_id, asin FROM requests JOIN feed_history ON reviewerID = query_id WHERE by_user
+        UNION ALL
+        SELECT query_id, asin FROM requests JOIN listing USING (query_id) WHERE by_list AND NOT by_user""",
+    profiles=aggregated("named", "avg"),
+    spoken="SELECT query_id, text FROM requests WHERE text <> ''",
+    spoken_vectors=embedded("spoken", "query_id", "text"),
+    asked=f"""
+        {blended_with("profiles", "spoken_vectors")}
+        UNION ALL
+        SELECT query_id, CAST(embedding AS DOUBLE[]) FROM spoken_vectors WHERE query_id NOT IN (SELECT query_id FROM profiles)""",
+    found=nearest("asked", "vectors", 100), left_over=without("found", "named"), shown=presented("left_over", "meta"))
 ORACLES["recommend_cold_start"] = sql("""
     SELECT c.reviewerID AS query_id, CAST(rank AS INT) AS rank, asin, title, avg_rating AS score,
       concat('Popular product with ', num_reviews, ' reviews') AS explanation, category, price, image_url
@@ -662,8 +694,6 @@ ORACLES["diversity_at_k"] = sql("""
 
 # Streams
 
-ORACLES["stream_product_stats"] = sql("""
-    SELECT asin, round(avg(rating), 6) AS avg_rating, count(rating) AS num_reviews FROM feed
-    WHERE (unixReviewTime // 86400 + 1) * 86400 <= (SELECT max(unixReviewTime) FROM feed) - 2 * 86400
-    GROUP BY asin""")
+ORACLES["stream_product_stats"] = sql(
+    "SELECT asin, round(avg(rating), 6) AS avg_rating, count(rating) AS num_reviews FROM feed GROUP BY asin")
 ORACLES["stream_delta_index"] = sql(f"SELECT asin, {SHOWN}, CAST(1 AS BIGINT) AS version FROM product_vectors")

@@ -426,7 +426,18 @@ def recommend_eco_resorted(spark, sf_dir):
 def history_by_item_list(spark, sf_dir):
     vectors = fx.vectors(spark, sf_dir)
     return recommend.recommend_item_lists(
-        fx.item_lists(spark, sf_dir), feed_products(spark, sf_dir), recommend.retrieve_exact(vectors), vectors
+        fx.item_lists(spark, sf_dir), feed_products(spark, sf_dir), recommend.retrieve_exact(vectors), vectors,
+        fallback=popularity.popular_fallback(products(spark, sf_dir)),
+    ).select(*RESULT)
+
+
+@query
+def recommend_requests(spark, sf_dir):
+    """Users, item lists, texts, several of them or nothing: one answer each."""
+    vectors = fx.vectors(spark, sf_dir)
+    return recommend.recommend_requests(
+        fx.requests(spark, sf_dir), fx.feed(spark, sf_dir), feed_products(spark, sf_dir),
+        recommend.retrieve_exact(vectors), vectors, popularity.popular_fallback(products(spark, sf_dir)),
     ).select(*RESULT)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recspark.functions.numbers import fixed
 from recspark.functions.rules import with_eco_score
+from recspark.functions.vectors import as_doubles
 from recspark.operators.cells import ivf_topk
 from recspark.operators.embed import embed_texts
 from recspark.operators.history import recent_best
@@ -67,6 +68,23 @@ def present(candidates: DataFrame, products: DataFrame, k: int = TOP, *, all_kno
     )
 
 
+def _each(queries: DataFrame, fallback: DataFrame, k: int) -> DataFrame:
+    """The rows of `fallback`, ranked from 1 to k, for every query."""
+    ranked = queries.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    # k rows: safe to broadcast.
+    return ranked.join(F.broadcast(fallback), "rank")
+
+
+def answered(recommended: DataFrame, asked: DataFrame, fallback: DataFrame, k: int = TOP) -> DataFrame:
+    """`recommended`, and the first k rows of `fallback` (see `popular_fallback`) for every query of `asked` without a row.
+
+    The recommendations are written once: they are read for their rows and for the ids that they answer.
+    """
+    found = checkpointed(recommended)
+    silent = asked.select("query_id").distinct().join(found.select("query_id").distinct(), "query_id", "left_anti")
+    return found.unionByName(_each(silent, fallback.filter(F.col("rank") <= k), k))
+
+
 def history_items(reviews: DataFrame, history_k: int = HISTORY_ITEMS) -> DataFrame:
     """`(query_id, asin)`: the history items of every user.
 
@@ -89,10 +107,12 @@ def recommend_history(
     texts: DataFrame | None = None,
     exclude_all_purchases: bool = False,
     all_known: bool = False,
+    fallback: DataFrame | None = None,
 ) -> DataFrame:
     """Products near the profile of every user, without the items the profile was made of.
 
-    `texts(query_id, embedding)` blends a text query into the profiles of the users it names.
+    `texts(query_id, embedding)` blends a text query into the profiles of the users it names. Users without any known
+    item get the rows of `fallback`, or none without it.
     """
     owned = history_items(reviews, history_k)
     queries = profile_vectors(owned, vectors, how, user="query_id")
@@ -102,16 +122,63 @@ def recommend_history(
     if exclude_all_purchases:
         excluded = reviews.select(F.col("reviewerID").alias("query_id"), "asin")
     n_users = owned.select("query_id").distinct().count()
-    return present(retrieval(queries, excluded, n_users), products, k, all_known=all_known)
+    shown = present(retrieval(queries, excluded, n_users), products, k, all_known=all_known)
+    if fallback is None:
+        return shown
+    users = reviews.select(F.col("reviewerID").alias("query_id")).filter(F.col("query_id").isNotNull())
+    return answered(shown, users, fallback, k)
 
 
 def recommend_item_lists(
-    lists: DataFrame, products: DataFrame, retrieval: Retrieval, vectors: DataFrame, k: int = TOP
+    lists: DataFrame,
+    products: DataFrame,
+    retrieval: Retrieval,
+    vectors: DataFrame,
+    k: int = TOP,
+    *,
+    fallback: DataFrame | None = None,
 ) -> DataFrame:
     """As `recommend_history`, for histories given as `lists(query_id, asins)`; a repeated id counts each time."""
     named = lists.select("query_id", F.explode("asins").alias("asin"))
     queries = profile_vectors(named, vectors, user="query_id")
-    return present(retrieval(queries, named, lists.count()), products, k)
+    shown = present(retrieval(queries, named, lists.count()), products, k)
+    return shown if fallback is None else answered(shown, lists, fallback, k)
+
+
+def recommend_requests(
+    requests: DataFrame,
+    reviews: DataFrame,
+    products: DataFrame,
+    retrieval: Retrieval,
+    vectors: DataFrame,
+    fallback: DataFrame,
+    k: int = TOP,
+    *,
+    history_k: int = HISTORY_ITEMS,
+    **embedding,
+) -> DataFrame:
+    """One answer for each of `requests(query_id, reviewerID, asins, text)`, whatever it names; ids are distinct.
+
+    A request that names a user takes that user's history, else the history is its own list. History and text are blended
+    where both are there, else the one there is asks alone; with neither, or with unknown items and no text, the answer is
+    `fallback`. Null and empty fields count as not given.
+    """
+    asked = checkpointed(requests.select("query_id", "reviewerID", "asins", "text"))
+    named = F.length("reviewerID") > 0
+    users = asked.filter(named).select("query_id", "reviewerID")
+    recent = recent_best(
+        keep_items(reviews.select("reviewerID", "asin", "rating", "unixReviewTime", "review_id"), users, ["reviewerID"]),
+        history_k,
+    )
+    of_users = users.join(recent.select("reviewerID", "asin"), "reviewerID").select("query_id", "asin")
+    of_lists = asked.filter(~F.coalesce(named, F.lit(False))).select("query_id", F.explode("asins").alias("asin"))
+    owned = checkpointed(of_users.unionByName(of_lists))
+    profiles = checkpointed(profile_vectors(owned, vectors, user="query_id"))
+    spoken = asked.filter(F.length("text") > 0).select("query_id", "text")
+    texts = checkpointed(embed_texts(spoken, "text", **embedding).drop("text"))
+    alone = texts.join(profiles, "query_id", "left_anti").withColumn("embedding", as_doubles(F.col("embedding")))
+    queries = blend_query_vectors(profiles, texts).unionByName(alone)
+    return answered(present(retrieval(queries, owned, asked.count()), products, k), asked, fallback, k)
 
 
 def zero_shot(
@@ -142,9 +209,7 @@ def cold_start(users: DataFrame, reviews: DataFrame, products: DataFrame, k: int
     newcomers = users.select(F.col("reviewerID").alias("query_id")).distinct().join(
         reviews.select(F.col("reviewerID").alias("query_id")).distinct(), "query_id", "left_anti"
     )
-    ranked = newcomers.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    # k rows: safe to broadcast.
-    return ranked.join(F.broadcast(popular_fallback(products, k)), "rank")
+    return _each(newcomers, popular_fallback(products, k), k)
 
 
 def with_sustainability(recommended: DataFrame, products: DataFrame, *, resort: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recspark.functions.numbers import rounded
+from recspark.sources.files import path_exists
 
 
 def windowed_stats(reviews: DataFrame, *, window: str = "1 day", delay: str = "2 days") -> DataFrame:
@@ -42,16 +43,23 @@ def run_stats_stream(
     max_files: int | None = None,
     **windows,
 ) -> None:
-    """Process what is in the Parquet folder `source` and stop; a later call goes on from there."""
+    """Process what is in the Parquet folder `source` and stop; a later call goes on from there.
+
+    Each micro-batch writes the present totals of the windows it changed, open ones too, to a folder of its own, which a
+    repeated run of the batch overwrites.
+    """
+
+    def write(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
     reader = spark.readStream.schema(schema)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     query = (
         windowed_stats(reader.parquet(source), **windows)
-        .writeStream.format("parquet")
-        .option("path", target)
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
+        .outputMode("update")
         .trigger(availableNow=True)
         .start()
     )
@@ -59,10 +67,16 @@ def run_stats_stream(
 
 
 def current_stats(spark: SparkSession, target: str) -> DataFrame:
-    """`(asin, avg_rating, num_reviews)` over all closed windows."""
-    windows = spark.read.schema(
-        "window_start timestamp, asin string, rating_sum double, num_reviews bigint"
-    ).parquet(target)
+    """`(asin, avg_rating, num_reviews)` over all windows, open or closed; of a window the totals written last count."""
+    columns = "window_start timestamp, asin string, rating_sum double, num_reviews bigint, batch bigint"
+    if not path_exists(spark, target):
+        written = spark.createDataFrame([], columns)
+    else:
+        written = spark.read.schema(columns).parquet(target)
+    latest = written.groupBy("window_start", "asin").agg(
+        F.max_by(F.struct("rating_sum", "num_reviews"), "batch").alias("totals")
+    )
+    windows = latest.select("asin", "totals.*")
     return windows.groupBy("asin").agg(
         rounded(F.sum("rating_sum") / F.sum("num_reviews")).alias("avg_rating"),
         F.sum("num_reviews").alias("num_reviews"),

@@ -71,6 +71,22 @@ def test_recommendation_plans(spark):
     lists = spark.createDataFrame([("q", ["p0", "p1", "p2", "p3", "nope"]), ("none", ["nope"])], "query_id string, asins array<string>")
     same = recommend.recommend_item_lists(lists, products, recommend.retrieve_exact(v, 30), v, 5)
     assert [(r["query_id"], r["asin"]) for r in same.orderBy("rank").collect()] == [("q", a) for a in known[:5]]
+    popular = popularity.popular_fallback(products, 5)
+    both = recommend.recommend_item_lists(lists, products, recommend.retrieve_exact(v, 30), v, 5, fallback=popular)
+    assert [(r["query_id"], r["asin"]) for r in both.orderBy("query_id", "rank").collect()] == [
+        ("none", f"p{i}") for i in range(5)
+    ] + [("q", a) for a in known[:5]]
+    requests = spark.createDataFrame(
+        [("1", "u", ["p9"], None), ("2", None, ["p0", "p1", "p2", "p3"], ""), ("3", None, None, "red chair"), ("4", None, None, None),
+         ("5", "stranger", ["p0"], None), ("6", "", ["nope"], "red chair"), ("7", "u", None, "red chair")],
+        "query_id string, reviewerID string, asins array<string>, text string",
+    )
+    got_all = recommend.recommend_requests(
+        requests, reviews, products, recommend.retrieve_exact(v, 30), v, popular, 5, dim=6
+    ).orderBy("rank").collect()
+    by_id = {str(q): [r["asin"] for r in got_all if r["query_id"] == str(q)] for q in range(1, 8)}
+    assert by_id["1"] == by_id["2"] == known[:5] and by_id["3"] == by_id["6"] and len(by_id["3"]) == len(by_id["7"]) == 5
+    assert by_id["4"] == by_id["5"] == [f"p{i}" for i in range(5)] and not {"p0", "p1", "p2", "p3"} & set(by_id["7"])
     people = spark.createDataFrame([("u",), ("new",)], "reviewerID string")
     cold = recommend.cold_start(people, reviews, products, 3).orderBy("rank").collect()
     assert [(r["query_id"], r["asin"]) for r in cold] == [("new", "p0"), ("new", "p1"), ("new", "p2")]

@@ -18,10 +18,13 @@ def test_statistics_stream_drops_repeats_and_late_rows(spark):
     first = arrive(
         ("1", "a", 4.0, 10), ("1", "a", 4.0, 10), ("2", "a", 2.0, 20), ("3", "b", None, 30), ("4", "a", 5.0, DAY), ("5", "z", 1.0, 4 * DAY)
     )
-    assert first == {"a": (11 / 3, 3)} or first == {"a": (3.666667, 3), "b": (None, 0)}
-    # Day 0 is closed: its late row is dropped. The row of day 3 still counts once day 3 closes.
+    assert first == {"a": (3.666667, 3), "b": (None, 0), "z": (1.0, 1)}
+    # Day 0 is closed: its late row is dropped. Rows of open days count at once.
     second = arrive(("6", "a", 1.0, 40), ("7", "b", 3.0, 3 * DAY), ("8", "z", 1.0, 9 * DAY))
-    assert second["a"] == (3.666667, 3) and second["b"] == (3.0, 1) and second["z"] == (1.0, 1)
+    assert second["a"] == (3.666667, 3) and second["b"] == (3.0, 1) and second["z"] == (1.0, 2)
+    third = arrive(("5", "z", 1.0, 4 * DAY), ("9", "z", 4.0, 9 * DAY + 1))
+    assert third["z"] == (2.0, 3) and {k: v for k, v in third.items() if k != "z"} == {k: v for k, v in second.items() if k != "z"}
+    assert current_stats(spark, work_path(spark, "none")).count() == 0
 
 
 def test_delta_stream_serves_the_newest_vectors(spark):
