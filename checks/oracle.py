@@ -79,13 +79,13 @@ def embedded(source: str, key: str, text: str) -> str:
         GROUP BY {key}"""
 
 
-def aggregated(source: str, how: str, key: str = "query_id") -> str:
+def aggregated(source: str, how: str, key: str = "query_id", items: str = "vectors") -> str:
     """Element-wise mean or max of the vectors of `source`'s items."""
     return f"""
         SELECT {key}, list(x ORDER BY i) AS embedding FROM (
           SELECT {key}, i, {how}(x) AS x FROM (
             SELECT {key}, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x
-            FROM {source} JOIN vectors USING (asin))
+            FROM {source} JOIN {items} USING (asin))
           GROUP BY 1, 2)
         GROUP BY {key}"""
 
@@ -170,14 +170,15 @@ RESULT = "query_id, rank, asin, title, score, explanation, category, price, imag
 ORACLES["ingest_reviews"] = sql("""
     SELECT reviewerID, asin, CASE CAST(asin AS BIGINT) % 7 WHEN 1 THEN 0.0 WHEN 3 THEN NULL ELSE rating END AS rating,
       reviewText, summary, unixReviewTime, review_id FROM reviews""")
-ORACLES["ingest_metadata"] = sql("""
+PARSED_METADATA = """
     SELECT asin, title,
       CASE n % 4 WHEN 0 THEN description WHEN 1 THEN concat(title, ' ', description) WHEN 2 THEN '' END AS description,
       CASE n % 3 WHEN 0 THEN price WHEN 2 THEN 0.0 END AS price,
       CASE n % 5 WHEN 0 THEN concat(category, ' > A > B') WHEN 1 THEN concat(category, ' > x') ELSE 'Electronics' END AS category,
       brand, CASE n % 4 WHEN 0 THEN concat('high-', asin) WHEN 2 THEN concat('low-', asin) END AS image_url,
       CASE n % 3 WHEN 0 THEN concat(asin, '|0') ELSE '' END AS also_bought, CAST(0 AS INT) AS n_also_viewed
-    FROM (SELECT *, CAST(asin AS BIGINT) AS n FROM meta)""")
+    FROM (SELECT *, CAST(asin AS BIGINT) AS n FROM meta)"""
+ORACLES["ingest_metadata"] = sql(PARSED_METADATA)
 ORACLES["minimal_metadata"] = sql("""
     SELECT asin, avg_rating, num_reviews, description, concat('Product ', asin) AS title, CAST(0 AS DOUBLE) AS price,
       'Electronics' AS category
@@ -190,6 +191,7 @@ ORACLES["product_stats"] = sql(
 ORACLES["review_digest"] = sql("SELECT asin, all_reviews FROM digest")
 ORACLES["product_catalogue"] = sql(f"SELECT {CATALOGUE} FROM products")
 ORACLES["catalogue_roundtrip"] = ORACLES["product_catalogue"]
+ORACLES["catalogue_csv"] = ORACLES["product_catalogue"]
 ORACLES["all_users"] = sql("SELECT DISTINCT reviewerID FROM reviews")
 
 # Histories
@@ -268,12 +270,37 @@ ORACLES["embedding_cache"] = sql(
     doc_vectors=embedded("documents", "doc_id", "text"))
 ORACLES["user_profile_mean"] = sql(f"SELECT query_id AS reviewerID, {SHOWN} FROM mean_profiles")
 ORACLES["user_profile_max"] = sql(f"SELECT query_id AS reviewerID, {SHOWN} FROM max_profiles")
+ORACLES["user_profile_weighted"] = sql(
+    f"SELECT reviewerID, {SHOWN} FROM weighted",
+    weighted="""
+        SELECT reviewerID, list(x ORDER BY i) AS embedding FROM (
+          SELECT reviewerID, i, sum(x * rating) / sum(rating) AS x FROM (
+            SELECT reviewerID, rating, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x
+            FROM feed_history JOIN vectors USING (asin))
+          GROUP BY 1, 2)
+        GROUP BY reviewerID""")
 ORACLES["blend_query_vector"] = sql(f"SELECT query_id, {SHOWN} FROM blended")
 
 SELF = "SELECT asin AS query_id, embedding FROM vectors"
 ORACLES["exact_topk"] = sql("SELECT * FROM found", asked=SELF, found=nearest("asked", "vectors", 100))
 ORACLES["ivf_topk"] = ORACLES["exact_topk"]
 ORACLES["sharded_topk"] = ORACLES["exact_topk"]
+ORACLES["ivf_topk_probed"] = sql(
+    "SELECT * FROM found",
+    labelled="SELECT asin, label FROM vectors WHERE label IS NOT NULL",
+    centroids=aggregated("labelled", "avg", "label", "(SELECT asin, embedding FROM vectors)"),
+    near="""
+        SELECT asin, cell, row_number() OVER (PARTITION BY asin ORDER BY score DESC, cell) AS place
+        FROM (SELECT v.asin, c.label AS cell, list_inner_product(CAST(v.embedding AS DOUBLE[]), c.embedding) AS score
+              FROM vectors v, centroids c)
+        QUALIFY place <= 2""",
+    found="""
+        SELECT query_id, asin, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, asin) AS INT) AS rank
+        FROM (SELECT q.asin AS query_id, v.asin,
+                round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) + 0.0 AS score
+              FROM near p JOIN vectors q ON q.asin = p.asin JOIN near n ON n.cell = p.cell AND n.place = 1
+              JOIN vectors v ON v.asin = n.asin)
+        QUALIFY rank <= 100""")
 ORACLES["two_stage_topk"] = sql(
     "SELECT * FROM exact",
     asked=SELF,
@@ -614,6 +641,24 @@ ORACLES["rerank_fill"] = sql(
         SELECT query_id, asin, score, 1, rank,
           concat('High similarity to your preferences (score: ', printf('%.3f', score), ')')
         FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM chosen o WHERE o.query_id = c.query_id AND o.asin = c.asin)""")
+ORACLES["recommend_reranked"] = sql(
+    """SELECT query_id, rank, asin, title, score, explanation, sustainability_score, short_reason FROM scored""",
+    known="""
+        SELECT query_id, asin, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, asin) AS rank,
+          CAST(query_id AS BIGINT) % 2 = 0 AS stored
+        FROM (SELECT query_id, asin, score FROM candidates) JOIN meta USING (asin)""",
+    ordered="""
+        SELECT query_id, asin, score, CASE WHEN stored THEN 'model one' ELSE 'model two' END AS explanation,
+          CASE WHEN stored AND rank = 3 THEN -2 WHEN stored THEN -1 ELSE 0 END AS place
+        FROM known WHERE (stored AND rank IN (1, 3)) OR (NOT stored AND rank = 2)
+        UNION ALL
+        SELECT query_id, asin, score, concat('High similarity to your preferences (score: ', printf('%.3f', score), ')'), rank
+        FROM known WHERE NOT ((stored AND rank IN (1, 3)) OR (NOT stored AND rank = 2))""",
+    best="""
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) AS INT) AS rank, asin, title, score,
+          explanation, description, category, brand
+        FROM ordered JOIN meta USING (asin) QUALIFY rank <= 10""",
+    scored=eco("best"))
 ORACLES["reply_cache_misses"] = sql("""
     SELECT query_id, concat(query_id, ':', md5(coalesce(any_value(text), '')), ':', md5(string_agg(asin, ',' ORDER BY asin))) AS reply_key
     FROM candidates LEFT JOIN user_texts USING (query_id)
@@ -642,6 +687,8 @@ BLOCKS |= {
         QUALIFY rank <= 10""",
 }
 ORACLES["utility_matrix"] = sql("SELECT * FROM ratings")
+ORACLES["svd_item_energy"] = sql(
+    "SELECT item AS asin, round(sum(rating * rating), 3) + 0.0 AS energy FROM ratings WHERE rating <> 0 GROUP BY 1")
 ORACLES["item_neighbors"] = sql("SELECT * FROM close")
 ORACLES["cf_recommend_factors"] = sql("""
     SELECT "user", rank, asin, score,
@@ -697,3 +744,37 @@ ORACLES["diversity_at_k"] = sql("""
 ORACLES["stream_product_stats"] = sql(
     "SELECT asin, round(avg(rating), 6) AS avg_rating, count(rating) AS num_reviews FROM feed GROUP BY asin")
 ORACLES["stream_delta_index"] = sql(f"SELECT asin, {SHOWN}, CAST(1 AS BIGINT) AS version FROM product_vectors")
+
+# The whole batch: parsed files, catalogue, vectors, profiles, lists
+
+ORACLES["batch_recommendations"] = sql(
+    f"""SELECT {RESULT} FROM listed
+        UNION ALL
+        SELECT u.reviewerID, CAST(f.rank AS INT), f.asin, f.title, f.avg_rating,
+          concat('Popular product with ', f.num_reviews, ' reviews'), f.category, f.price, f.image_url
+        FROM (SELECT DISTINCT reviewerID FROM parsed) u, fallback f
+        WHERE u.reviewerID NOT IN (SELECT query_id FROM listed)""",
+    parsed="""
+        SELECT * REPLACE (CASE CAST(asin AS BIGINT) % 7 WHEN 1 THEN 0.0 WHEN 3 THEN NULL ELSE rating END AS rating)
+        FROM reviews""",
+    goods=PARSED_METADATA,
+    parsed_digest="""
+        SELECT asin, string_agg(reviewText, ' | ' ORDER BY rn) AS all_reviews FROM (
+          SELECT *, row_number() OVER (PARTITION BY asin ORDER BY unixReviewTime, review_id) AS rn FROM parsed)
+        WHERE rn <= 10 GROUP BY asin""",
+    shelf="""
+        SELECT s.asin, round(s.m, 6) + 0.0 AS avg_rating, s.n AS num_reviews, title, brand, category, price, image_url,
+          coalesce(description, all_reviews) AS description,
+          concat('Title: ', title, ' | Brand: ', brand, ' | Category: ', category, ' | Description: ',
+            coalesce(description, all_reviews), ' | Reviews: ', all_reviews) AS text_for_embedding
+        FROM (SELECT asin, avg(rating) AS m, count(rating) AS n FROM parsed GROUP BY asin
+              HAVING count(rating) >= 1 AND avg(rating) >= 3.0) s
+        JOIN parsed_digest USING (asin) JOIN goods USING (asin)""",
+    shelf_vectors=embedded("shelf", "asin", "text_for_embedding"),
+    parsed_history=history_of("parsed", 20),
+    parsed_owned="SELECT reviewerID AS query_id, asin FROM parsed_history",
+    parsed_profiles=aggregated("parsed_owned", "avg", items="shelf_vectors"),
+    parsed_found=nearest("parsed_profiles", "shelf_vectors", 100),
+    parsed_left=without("parsed_found", "parsed_owned"),
+    listed=presented("parsed_left", "shelf"),
+    fallback="SELECT *, row_number() OVER (ORDER BY num_reviews DESC, asin) AS rank FROM shelf QUALIFY rank <= 10")

@@ -107,6 +107,13 @@ def catalogue_roundtrip(spark, sf_dir):
     return tables.load_catalogue(spark, path).select(*CATALOGUE_COLUMNS)
 
 
+@query
+def catalogue_csv(spark, sf_dir):
+    path = work_path(spark, "catalogue.csv")
+    tables.save_catalogue(products(spark, sf_dir).drop("image_url"), path)
+    return tables.load_catalogue(spark, path).select(*CATALOGUE_COLUMNS)
+
+
 @query
 def all_users(spark, sf_dir):
     return history.all_users(fx.reviews(spark, sf_dir))
@@ -205,6 +212,13 @@ def user_profile_max(spark, sf_dir):
     return feed_profiles(spark, sf_dir, "max").select("reviewerID", shown().alias("embedding"))
 
 
+@query
+def user_profile_weighted(spark, sf_dir):
+    rows = history.recent_best(fx.feed(spark, sf_dir), 20)
+    profiles = profile_vectors(rows, fx.vectors(spark, sf_dir), "weighted_mean", weight="rating")
+    return profiles.select("reviewerID", shown().alias("embedding"))
+
+
 def user_text_vectors(spark, sf_dir) -> DataFrame:
     return embed.embed_texts(fx.user_texts(spark, sf_dir), "text").select("query_id", "embedding")
 
@@ -238,6 +252,18 @@ def ivf_topk(spark, sf_dir):
     return cells.ivf_topk(as_queries(fx.vectors(spark, sf_dir)), placed, centroids, 100, n_probe=n_cells)
 
 
+@query
+def ivf_topk_probed(spark, sf_dir):
+    """Probes two cells of each query; the mean vector of every label is a centroid, so that SQL can do the same."""
+    vectors = fx.vectors(spark, sf_dir).select("asin", "embedding", F.col("label").cast("int").alias("cell"))
+    labelled = vectors.select("asin", "cell").filter(F.col("cell").isNotNull())
+    means = profile_vectors(labelled, vectors, user="cell").withColumnRenamed("embedding", "centroid")
+    centroids = checkpointed(means)
+    items = vectors.drop("cell")
+    placed = checkpointed(cells.assign_cells(items, centroids))
+    return cells.ivf_topk(as_queries(items), placed, centroids, 100, n_probe=2)
+
+
 @query
 def two_stage_topk(spark, sf_dir):
     placed, centroids, n_cells = stored_cells(spark, sf_dir)
@@ -466,7 +492,9 @@ def rerank_prompt(spark, sf_dir):
     summaries = history.history_summary(rows).withColumnRenamed("reviewerID", "query_id")
     texts = history.rich_query_text(rows).select(F.col("reviewerID").alias("query_id"), F.col("query_text").alias("query"))
     asks = with_search_criteria(texts, has_history=F.lit(True), sustainability_mode=True)
-    return rerank.rerank_prompts(candidates, summaries, asks, sustainability_mode=True)
+    return rerank.rerank_prompts(
+        candidates, summaries, asks, sustainability_mode=True, description_limit=rerank.PROMPT_DESCRIPTION
+    )
 
 
 REPLIED_RANKS = [5, 3, 3, 1, 0, -1, 7, 9, 11, 13, 2, 4]  # 0: an unknown product, -1: product "0" of the catalogue
@@ -510,6 +538,30 @@ def rerank_fill(spark, sf_dir):
     ).select(*RESULT)
 
 
+@query
+def recommend_reranked(spark, sf_dir):
+    """A first model answers every user; its replies to even-numbered users are stored, a second model answers the others."""
+
+    def naming(places, said):
+        def generate(asked):
+            import json
+            import re
+
+            found = [re.findall(r"ASIN: (\S+)", prompt) for prompt in asked]
+            chosen = [[asins[p - 1] for p in places if p <= len(asins)] for asins in found]
+            return [json.dumps({"recommendations": [{"asin": a, "explanation": said} for a in c]}) for c in chosen]
+
+        return generate
+
+    vectors = fx.vectors(spark, sf_dir)
+    inputs = fx.feed(spark, sf_dir), feed_products(spark, sf_dir, described=True), recommend.retrieve_exact(vectors), vectors
+    options = {"sustainability_mode": True, "description_limit": rerank.PROMPT_DESCRIPTION}
+    _, fresh = recommend.recommend_reranked(*inputs, generate=naming([3, 1], "model one"), **options)
+    stored = checkpointed(fresh.filter(F.substring_index("reply_key", ":", 1).cast("bigint") % 2 == 0))
+    final, _ = recommend.recommend_reranked(*inputs, stored, naming([2], "model two"), **options)
+    return final.select("query_id", "rank", "asin", "title", "score", "explanation", "sustainability_score", "short_reason")
+
+
 @query
 def reply_cache_misses(spark, sf_dir):
     """Replies are stored for the first half of the users in id order; those of the others are missing."""
@@ -529,6 +581,15 @@ def utility_matrix(spark, sf_dir):
     return filtering.utility_matrix(fx.feed(spark, sf_dir))
 
 
+@query
+def svd_item_energy(spark, sf_dir):
+    """With as many components as items, the factors of an item are as long as its ratings."""
+    matrix = checkpointed(filtering.utility_matrix(fx.feed(spark, sf_dir)))
+    factors = filtering.item_factors(matrix, matrix.select("item").distinct().count())
+    squared = F.aggregate("factors", F.lit(0.0), lambda total, x: total + x * x)
+    return factors.select("asin", (F.round(squared, 3) + F.lit(0.0)).alias("energy"))
+
+
 @query
 def item_neighbors(spark, sf_dir):
     return filtering.item_neighbors(fx.vectors(spark, sf_dir), min_correlation=0.2, column="embedding")
@@ -634,9 +695,19 @@ def stream_delta_index(spark, sf_dir):
     return delta_vectors.delta_vectors(spark, target).select("asin", shown().alias("embedding"), "version")
 
 
-@query
-def end_to_end_batch(spark, sf_dir):
+def whole_batch(spark, sf_dir):
     folder = work_path(spark, "raw")
     fx.raw_reviews(spark, sf_dir).write.text(f"{folder}/reviews.jsonl")
     fx.raw_metadata(spark, sf_dir).write.text(f"{folder}/metadata.jsonl")
-    return run_batch(spark, folder, f"{folder}/catalogue.parquet").comparison
+    return run_batch(spark, folder, f"{folder}/catalogue.parquet")
+
+
+@query
+def end_to_end_batch(spark, sf_dir):
+    return whole_batch(spark, sf_dir).comparison
+
+
+@query
+def batch_recommendations(spark, sf_dir):
+    """From raw files to the recommendations of every user."""
+    return whole_batch(spark, sf_dir).recommendations.select(*RESULT)

@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recspark.functions.numbers import fixed
-from recspark.functions.rules import with_eco_score
+from recspark.functions.rules import with_eco_score, with_search_criteria
 from recspark.functions.vectors import as_doubles
 from recspark.operators.cells import ivf_topk
 from recspark.operators.embed import embed_texts
-from recspark.operators.history import recent_best
+from recspark.operators.history import history_summary, recent_best, rich_query_text, with_products
 from recspark.operators.popularity import display_columns, popular_fallback
 from recspark.operators.profiles import blend_query_vectors, profile_vectors
 from recspark.operators.ranking import best_first, exclude_items, keep_items, top_per_group
 from recspark.operators.compare import pooled_candidates
+from recspark.operators.rerank import PROMPT_CANDIDATES, ask_model, merge_replies, missing_replies, reply_keys, rerank_prompts
 from recspark.operators.search import exact_topk, search
 from recspark.session import checkpointed
 
@@ -129,6 +130,58 @@ def recommend_history(
     return answered(shown, users, fallback, k)
 
 
+def recommend_reranked(
+    reviews: DataFrame,
+    products: DataFrame,
+    retrieval: Retrieval,
+    vectors: DataFrame,
+    stored: DataFrame | None = None,
+    generate: Callable[[list[str]], list[str]] | None = None,
+    k: int = TOP,
+    *,
+    history_k: int = HISTORY_ITEMS,
+    most: int = PROMPT_CANDIDATES,
+    description_limit: int | None = None,
+    sustainability_mode: bool = False,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Retrieved candidates of every user, put in the order that a model replies; and the new replies, to be stored.
+
+    `stored(reply_key, reply)` answers where it can, `generate` (prompts to replies) the other users, and whoever has no
+    usable reply keeps the order of retrieval. With `sustainability_mode` the model is told so and every result carries its
+    product's rule score. The new replies are `(reply_key, reply)`, null without `generate`.
+    """
+    columns = ["reviewerID", "asin", "rating", "unixReviewTime", "review_id"]
+    recent = checkpointed(recent_best(reviews.select(*columns), history_k))
+    owned = recent.select(F.col("reviewerID").alias("query_id"), "asin")
+    queries = profile_vectors(owned, vectors, user="query_id")
+    found = retrieval(queries, owned, owned.select("query_id").distinct().count())
+    ranked = top_per_group(keep_items(found, products, ["asin"]), ["query_id"], best_first(), most)
+    candidates = checkpointed(ranked.select("query_id", "asin", "score", "rank"))
+    shown = checkpointed(with_products(recent, products))
+    texts = rich_query_text(shown).select(F.col("reviewerID").alias("query_id"), F.col("query_text").alias("query"))
+    asks = checkpointed(with_search_criteria(texts, has_history=F.lit(True), sustainability_mode=sustainability_mode))
+    if stored is None:
+        stored = reviews.sparkSession.createDataFrame([], "reply_key string, reply string")
+    stored = stored.select("reply_key", "reply").dropDuplicates(["reply_key"])
+    replies = reply_keys(candidates, asks).join(stored, "reply_key").select("query_id", "reply")
+    fresh = None
+    if generate is not None:
+        missing = checkpointed(missing_replies(candidates, asks, stored))
+        summaries = history_summary(shown).withColumnRenamed("reviewerID", "query_id")
+        described = keep_items(candidates, missing, ["query_id"]).join(
+            products.select("asin", "title", "category", "description"), "asin"
+        )
+        prompts = rerank_prompts(
+            described, keep_items(summaries, missing, ["query_id"]), asks,
+            sustainability_mode=sustainability_mode, most=most, description_limit=description_limit,
+        )
+        asked = checkpointed(ask_model(prompts, generate))
+        fresh = missing.join(asked, "query_id").select("reply_key", "reply")
+        replies = replies.unionByName(asked)
+    final = merge_replies(candidates, checkpointed(replies), products, k)
+    return (with_sustainability(final, products) if sustainability_mode else final), fresh
+
+
 def recommend_item_lists(
     lists: DataFrame,
     products: DataFrame,

@@ -134,8 +134,12 @@ def test_catalogue_roundtrip_parquet_and_csv(spark, tmp_path):
     assert "image_url" in loaded.columns and loaded.count() == 2
     flat = products.drop("imageURL").select("asin", "title", "avg_rating", "num_reviews")
     flat.toPandas().to_csv(tmp_path / "p.csv", index=False)
-    from_csv = tables.load_catalogue(spark, str(tmp_path / "p.csv"), "asin string, title string, avg_rating double, num_reviews bigint")
+    from_csv = tables.load_catalogue(spark, str(tmp_path / "p.csv"))
     assert {r["asin"]: r["avg_rating"] for r in from_csv.collect()} == {"a": 3.0, "b": 2.0}
+    tables.save_catalogue(products.drop("image_url"), str(tmp_path / "whole.csv"))
+    whole = tables.load_catalogue(spark, str(tmp_path / "whole.csv"))
+    assert dict(whole.dtypes) == dict(products.dtypes)
+    assert sorted(whole.select(*products.columns).collect(), key=str) == sorted(products.collect(), key=str)
 
 
 def test_batch_from_raw_files_and_from_the_stored_catalogue(spark, tmp_path):
