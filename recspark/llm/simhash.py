@@ -228,7 +228,11 @@ def near_duplicates(documents: DataFrame, width: int = 4, radius: int = 4, piece
 
 def keep_one(documents: DataFrame, width: int = 4, radius: int = 4, pieces: int = 6) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest id stays."""
-    found = near_duplicates(documents, width, radius, pieces)
+    return least_stays(documents, near_duplicates(documents, width, radius, pieces))
+
+
+def least_stays(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents of which `found` (doc_id, text_hash, component, component_id) says that they have the smallest id."""
     keys = found.groupBy("doc_id", "text_hash", "component").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
     keys = checkpointed(keys)
     kept = (

@@ -13,7 +13,7 @@ import zlib
 import corpus_pipeline
 from checks.verify import compare, duck
 from pyspark.sql import functions as F
-from recspark.llm import ann, chat, decontaminate, hmm, langid, mixing, pii, quality, simhash, warc
+from recspark.llm import ann, chat, decontaminate, hmm, langid, mixing, nearcopies, pii, quality, simhash, warc
 from recspark.llm.common import permuted, table
 from recspark.llm.components import components
 from recspark.llm.oracle import ORACLES
@@ -237,6 +237,42 @@ def test_large_buckets_meet_in_blocks(spark):
     assert [found.get(v, v) for v in own] == [own[w] for w in want]
 
 
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_pipeline_keeps_one_of_near_copies_at_five_words_and_080(spark, odd, none):
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(12):
+        base = [f"w{g}x{k}" for k in rng.integers(0, 5000, 150 + 20 * g)]
+        for edits in (0, 1, 2, 3, 5, 8, 12):
+            words = list(base)
+            for at in rng.choice(len(words), edits, replace=False):
+                words[at] = f"new{rng.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [shingles(t) for _, t in rows]
+    want = [i for i, r in enumerate(roots(rows, lambda i, j: alike(sets[i], sets[j]))) if r == i]
+    kept = corpus_pipeline.one_of_each(spark, docs, SF).collect()
+    assert sorted(r["doc_id"] for r in kept) == want and 12 < len(want) < len(rows)
+    assert nearcopies.recall(0.8) > 0.9999
+    # Blocks of large buckets meet each other as well.
+    signed = nearcopies.signatures(docs).select("node", "size", F.explode("keys").alias("key"))
+    named = nearcopies.signatures(docs).join(docs, "doc_id").select("node", "text")
+    up = {r["node"]: r["root"] for r in components(nearcopies.links(signed, named, most=3), "a", "b").collect()}
+    ids = [r["node"] for r in nearcopies.signatures(docs).orderBy("doc_id").collect()]
+    assert len({up.get(n, n) for n in ids}) == len(want)
+    kept = nearcopies.keep_one(odd).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"]) == [1, 2, 4, 6, 7] and len(kept) == 5
+    assert nearcopies.keep_one(none).count() == 0
+
+
 # 9. Neighbours
 
 
