@@ -2,11 +2,13 @@
 
 The frequent words are symbols of their own; every other word belongs to a class by its ending and is drawn inside the class by
 its smoothed count, so each text has an exact likelihood. Baum-Welch runs in rounds, each over another part of the
-training documents: tasks run the scaled forward-backward recursion over their documents and add up expected counts, which
+training documents, and adds its expected counts to those of the parts before (incremental EM), so that the last model comes
+from the counts of all of them: tasks run the scaled forward-backward recursion over their documents and add up expected counts, which
 Spark sums. The scaled forward recursion then gives the likelihood of every text.
 
 Word counts cover all training documents. The counts of the `lookup` most frequent words go to every task; those of all
-other words, which no hot key can be among, are joined. The first guess of the states comes from a bounded sample.
+other words, which no hot key can be among, are joined. The first guess of the states comes from clusters of all training
+documents, whose sums every task adds up.
 
 Defined results: a null or empty text is the end token alone; repeated rows are scored, and learned from, as often as they
 occur; a null id counts as empty text for the hold-out; without training documents every token has count 0; an empty table
@@ -22,7 +24,6 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,6 +33,8 @@ from recspark.llm.langid import _clusters
 from recspark.session import checkpointed
 
 CELLS = 400_000  # tokens that are in work at once
+SEEDS = 64  # distinct texts that the clusters of the first guess begin with
+PASSES = 2  # passes of those clusters over all training documents
 COUNTED = 500_000  # distinct words that a task holds before it hands them on
 
 
@@ -203,24 +206,53 @@ def expected(texts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndar
     return start, move * model.move, emit, total
 
 
-def _guess(sample: DataFrame, v: Vocabulary, states: int) -> np.ndarray:
-    """Emissions of each state from clusters of sampled documents."""
-    size = v.end + 1
+def _unit(counts: np.ndarray) -> np.ndarray:
+    """Rows of symbol counts as vectors of length one, damped by the square root."""
+    unit = np.sqrt(counts)
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+
+def _guess(training: DataFrame, v: Vocabulary, states: int) -> np.ndarray:
+    """Emissions of each state from clusters of all training documents; every task adds up its own."""
+    spark, size = training.sparkSession, v.end + 1
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = pdf.sort_values(["doc_id", "text"])["text"].tolist()
-        rows = np.array([np.bincount(symbols_of(words(t), v), minlength=size) for t in texts], dtype=np.float32)
-        unit = np.sqrt(rows)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        centre, _ = _clusters(unit, states, 10, 0.0)
-        near = (unit @ centre.T).argmax(axis=1)
-        sums = np.array([rows[near == s].sum(axis=0) for s in range(states)])
-        return pd.DataFrame({"state": range(states), "emit": list(sums.astype(np.float64))})
-
-    rows = sample.select(F.lit(0).alias("g"), "doc_id", "text").groupBy("g").applyInPandas(group, "state int, emit array<double>").collect()
+    def counts_of(texts: list[str | None]) -> np.ndarray:
+        return np.array([np.bincount(symbols_of(words(t), v), minlength=size) for t in texts], dtype=np.float32).reshape(-1, size)
+
+    # Distinct texts to begin with; where the clusters end is up to the passes over all documents.
+    hashed = training.select("text", F.xxhash64("text").alias("h"))
+    least = hashed.select("h").distinct().orderBy("h").limit(SEEDS)
+    first = hashed.join(F.broadcast(least), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()
     out = np.zeros((states, size))
-    for r in rows:
-        out[r["state"]] = r["emit"]
+    if not first:
+        return out
+    centre, _ = _clusters(_unit(counts_of([r["text"] for r in first])), states, 10, 0.0)
+    for _ in range(PASSES):
+        shared = spark.sparkContext.broadcast((np.asarray(centre, dtype=np.float32), v))
+
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centre, v = shared.value
+            sums = np.zeros((2, len(centre), size))
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    some, n = np.unique(symbols_of(words(text), v), return_counts=True)
+                    unit = np.sqrt(n)
+                    unit /= np.linalg.norm(unit)
+                    near = (centre[:, some] @ unit).argmax()
+                    sums[0, near, some] += unit
+                    sums[1, near, some] += n
+            flat = sums.ravel()
+            some = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], ["place", "n"])
+
+        found = training.select("text").mapInArrow(add_up, "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+        flat = np.zeros(2 * len(centre) * size)
+        flat[found["place"]] = found["n"]
+        near, sums = flat.reshape(2, len(centre), size)
+        length = np.linalg.norm(near, axis=1, keepdims=True)
+        centre = np.where(length > 0, near / np.where(length > 0, length, 1), centre)  # an empty cluster stays where it was
+        shared.unpersist()
+    out[: len(sums)] = sums
     return out
 
 
@@ -231,14 +263,13 @@ def normalised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, v: Vocabul
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def train(training: DataFrame, v: Vocabulary, states: int, rounds: int, sample_rows: int, pseudo: float) -> Model:
+def train(training: DataFrame, v: Vocabulary, states: int, rounds: int, pseudo: float) -> Model:
     spark = training.sparkSession
     size = v.end + 1
-    rate = min(1.0, sample_rows / max(v.ends, 1))
-    spread = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
-    guess = _guess(training.filter(spread < rate * (1 << 30)), v, states)
+    guess = _guess(training, v, states)
     flat = np.ones(states)
     model = normalised(flat, np.eye(states) * 30 * states, guess.T, v, pseudo)
+    totals = np.zeros(states + states * states + size * states)
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((model, v))
 
@@ -263,9 +294,9 @@ def train(training: DataFrame, v: Vocabulary, states: int, rounds: int, sample_r
         part = training.filter(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == turn).select("text")
         found = part.mapInArrow(add_up, "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
         if len(found):
-            flat = np.zeros(states + states * states + size * states)
-            flat[found["place"]] = found["n"]
-            start, move, emit = np.split(flat, [states, states + states * states])
+            # Counts of the parts before stay, so that the last model is of all parts.
+            totals[found["place"]] += found["n"]
+            start, move, emit = np.split(totals, [states, states + states * states])
             model = normalised(start, move.reshape(states, states), emit.reshape(size, states), v, pseudo)
         shared.unpersist()
     return model
@@ -273,13 +304,13 @@ def train(training: DataFrame, v: Vocabulary, states: int, rounds: int, sample_r
 
 def score(
     documents: DataFrame, training: DataFrame, states: int = 8, rounds: int = 4, own: int = 8192, lookup: int = 150_000,
-    classes: int = 1024, sample_rows: int = 1000, pseudo: float = 100.0,
+    classes: int = 1024, pseudo: float = 100.0,
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score; logarithms to base 10."""
     spark = documents.sparkSession
     counted = checkpointed(count_words(training, classes))
     v = vocabulary(counted, training.count(), own, lookup, classes)
-    model = train(training, v, states, rounds, sample_rows, pseudo)
+    model = train(training, v, states, rounds, pseudo)
     shared = spark.sparkContext.broadcast((model, v))
     names = ["doc_id", "row", "n_tokens", "known", "logs", "path", "rare", "times"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]

@@ -341,6 +341,16 @@ def test_base_score_counts_and_odd_texts(spark, odd, none):
     assert hmm.score(odd, odd).count() == odd.count() and hmm.score(none, none).count() == 0 and hmm.score(odd, none).count() == odd.count()
 
 
+def test_last_model_holds_counts_of_all_training_documents(spark):
+    docs = spark.createDataFrame([(i, f"some words and u{i}") for i in range(40)], "doc_id long, text string")
+    counted = hmm.count_words(docs, 16)
+    v = hmm.vocabulary(counted, 40, 100, 1000, 16)
+    model = hmm.train(docs, v, 2, 4, 1e-9)
+    assert model.emit[: v.own].sum(axis=1).min() > 1e-4
+    # The first guess adds up all documents as well.
+    assert hmm._guess(docs, v, 2).sum() == 5 * 40
+
+
 # Pipeline
 
 
