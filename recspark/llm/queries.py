@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recspark.llm import ann, chat, decontaminate, hmm, langid, mixing, pii, quality, simhash, warc
+from recspark.llm import ann, chat, decontaminate, hmm, langid, merkle, mixing, negatives, pii, quality, secretscan, simhash, warc
 from recspark.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,30 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "speaker", "part", "n_turns", "text", F.array_join(spans, ",").alias("spans"), "masked")
 
 
+@query
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: fixed shapes, and tokens that look random and unlike ordinary text."""
+    found = secretscan.scan(table(spark, sf_dir, "documents"))
+    fixed = F.filter("spans", lambda s: s["kind"] < secretscan.KINDS.index("random"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(secretscan.SHAPES)]
+    return found.select(
+        "doc_id", *counts, F.sha2(secretscan.written(fixed), 256).alias("base_sha256"), secretscan.written(F.col("spans")).alias("spans")
+    )
+
+
+@query
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verification of every document under one root."""
+    return merkle.proofs(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
