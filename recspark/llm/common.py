@@ -20,6 +20,17 @@ def remainder(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % parts
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front of them until none is one of the columns (upper and lower case count as equal)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def bounded(rows: DataFrame) -> DataFrame:
     """A written table of few columns, broadcast if its row count is within BROADCAST_ROWS; else Spark joins by a shuffle."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

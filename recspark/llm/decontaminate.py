@@ -1,8 +1,9 @@
 """Benchmark decontamination: a prefix-filtered join of item windows with documents, in DataFrame operations only.
 
-An item is the set of its windows of `width` words (an item of fewer words is one window). A document contains a window only
-if it contains each of its shingles, so the rarest one, by its count over all documents, is a necessary prefix: only these
-are joined. A match fixes where the window would start; it must lie inside the document (positional and length bound), and
+An item is the set of its windows of `width` words (an item of fewer words is one window). The texts are split into words once:
+a table of marks, one byte for each hash of a shingle that some window has, goes to the tasks, and only shingles with a mark are kept, with
+their places, beside the number of words of the document. A document contains a window only if it contains each of its
+shingles, so the rarest one, by its count over all documents, is a necessary prefix: only these are joined. A match fixes where the window would start; it must lie inside the document (positional and length bound), and
 the words there must equal those of the window (exact verification).
 
 Defined results: null texts and texts without words have no words, no hits and no windows; repeated documents get equal
@@ -14,7 +15,9 @@ carry the document's own columns only where the text is filtered. Texts are read
 from __future__ import annotations
 
 import string
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +26,8 @@ from recspark.session import checkpointed
 
 # Fixed value: a word is a run of ASCII letters, digits and anything outside ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+MARKS_PER_TOKEN = 16
+MOST_MARKS = 1 << 24
 
 
 def words(text: str) -> Column:
@@ -31,12 +35,17 @@ def words(text: str) -> Column:
     return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
 
 
-def shingles(items: Column, count: Column, width: int) -> Column:
-    """Hashes of all runs of `width` words, in order."""
-    hashed = F.transform(
-        F.sequence(F.lit(0), count - width), lambda i: F.xxhash64(*[F.get(items, i + k) for k in range(width)])
+def shingles(codes: Column, count: Column, width: int) -> Column:
+    """(at, token) of all runs of `width` words, in order; `codes` are the hashes of the words."""
+    runs = F.transform(
+        F.sequence(F.lit(0), count - width),
+        lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(codes, i + k) for k in range(width)]).alias("token")),
     )
-    return F.when(count >= width, hashed).otherwise(F.array().cast("array<bigint>"))
+    return F.when(count >= width, runs).otherwise(F.array().cast("array<struct<at: int, token: bigint>>"))
+
+
+def codes_of(items: Column) -> Column:
+    return F.transform(items, lambda word: F.xxhash64(word))
 
 
 def windows(items: DataFrame, width: int) -> DataFrame:
@@ -49,44 +58,69 @@ def windows(items: DataFrame, width: int) -> DataFrame:
     return cut.select("item_id", F.size("words").alias("n"), F.array_join("words", " ").alias("window"), "words").distinct()
 
 
-def _tokens(documents: DataFrame, width: int) -> DataFrame:
-    """id, hash, n_words, at, token of every shingle of every document."""
-    rows = documents.select(
-        F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), words("text").alias("words")
-    ).select("id", "hash", "words", F.size("words").alias("n_words"))
-    return rows.select(
-        "id", "hash", "n_words", F.posexplode(shingles(F.col("words"), F.col("n_words"), width)).alias("at", "token")
-    )
+def marks_of(tokens: DataFrame) -> bytes:
+    """A byte for each remainder of a token, 1 where there is such a token; at most MOST_MARKS bytes, whatever the tokens."""
+    size = min(MOST_MARKS, max(1024, 1 << (tokens.count() * MARKS_PER_TOKEN).bit_length()))
+    place = F.pmod("token", F.lit(size))
+    bits = F.expr("bit_or(shiftleft(1L, cast(place & 63 AS int)))")
+    rows = tokens.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("slot")).agg(bits.alias("bits")).toArrow()
+    slots = np.zeros(size // 64, dtype=np.int64)
+    slots[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy()
+    return np.unpackbits(slots.view(np.uint8), bitorder="little").tobytes()
+
+
+def scanned(documents: DataFrame, sizes: list[int], marks: bytes) -> DataFrame:
+    """id, hash (of the text), n_words, hits (size, at, token of the shingles with a mark), one row for each document."""
+    rows = documents.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), codes_of(words("text")).alias("codes"))
+    rows = rows.withColumn("n_words", F.size("codes"))
+    table, one = F.lit(marks), F.lit(b"\x01")
+    marked = [
+        F.filter(
+            shingles(F.col("codes"), F.col("n_words"), size),
+            lambda s: F.substring(table, (F.pmod(s["token"], F.lit(len(marks))) + 1).cast("int"), F.lit(1)) == one,
+        )
+        for size in sizes
+    ]
+    named = [F.struct(F.lit(size).alias("size"), hits.alias("hits")) for size, hits in zip(sizes, marked)]
+    return checkpointed(rows.select("id", "hash", "n_words", *([F.array(*named).alias("by_size")] if sizes else [])))
+
 
+@dataclass
+class Occurrences:
+    documents: DataFrame  # id, hash, n_words of every document
+    places: DataFrame  # id, hash (of the text), start, n, window: every occurrence of a window in a document, once
 
-def occurrences(documents: DataFrame, items: DataFrame, width: int = 10, shingle: int = 3) -> DataFrame:
-    """id, hash (of the text), start, n, window: every occurrence of a window in a document, once."""
+
+def occurrences(documents: DataFrame, items: DataFrame, width: int = 10, shingle: int = 3) -> Occurrences:
     cut = windows(items, width).select("n", "window", "words").distinct()
     cut = checkpointed(cut.withColumn("size", F.least(F.col("n"), F.lit(shingle))))
-    candidates = None
-    for size in sorted(r["size"] for r in cut.select("size").distinct().collect()):
+    sizes = sorted(r["size"] for r in cut.select("size").distinct().collect())
+    asked = None
+    for size in sizes:
         mine = cut.filter(F.col("size") == size).select(
-            "n", "window", F.posexplode(shingles(F.col("words"), F.col("n"), size)).alias("offset", "token")
-        )
-        tokens = _tokens(documents, size)
-        asked = bounded(checkpointed(mine.select("token").distinct()))
-        rarity = checkpointed(tokens.join(asked, "token").groupBy("token").agg(F.count("*").alias("found")))
-        # Windows with a shingle that no document has cannot occur.
-        counted = mine.join(rarity, "token", "left").withColumn("found", F.coalesce("found", F.lit(0)))
-        rarest = counted.groupBy("window", "n").agg(F.min(F.struct("found", "token", "offset")).alias("rarest"))
-        places = rarest.filter("rarest.found > 0").select("rarest.token", "rarest.offset", "n").distinct()
-        prefix = places.groupBy("token").agg(F.collect_list(F.struct("offset", "n")).alias("places"))
-        found = (
-            tokens.join(bounded(checkpointed(prefix)), "token")
-            .select("id", "hash", "n_words", "at", F.explode("places").alias("place"))
-            .select("id", "hash", "n_words", (F.col("at") - F.col("place.offset")).alias("start"), F.col("place.n").alias("n"))
-            .filter("start >= 0 AND start + n <= n_words")
-            .select("id", "hash", "start", "n")
+            "size", "n", "window", F.inline(shingles(codes_of(F.col("words")), F.col("n"), size)).alias("offset", "token")
         )
-        candidates = found if candidates is None else candidates.unionAll(found)
-    schema = "id long, hash long, start int, n int, window string"
-    if candidates is None:
-        return documents.sparkSession.createDataFrame([], schema)
+        asked = mine if asked is None else asked.unionByName(mine)
+    if asked is None:
+        rows = scanned(documents, [], b"")
+        none = rows.limit(0).select("id", "hash", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("window"))
+        return Occurrences(rows, none)
+    asked = checkpointed(asked)
+    tokens = checkpointed(asked.select("size", "token").distinct())
+    table = scanned(documents, sizes, marks_of(tokens))
+    hits = table.select("id", "hash", "n_words", F.inline("by_size")).select("id", "hash", "n_words", "size", F.inline("hits"))
+    # A mark may stand for several tokens; the join keeps the tokens of windows.
+    hits = checkpointed(hits.join(bounded(tokens), ["size", "token"]))
+    rarity = hits.groupBy("size", "token").agg(F.count("*").alias("found"))
+    # Windows with a shingle that no document has cannot occur.
+    counted = asked.join(rarity, ["size", "token"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    rarest = counted.groupBy("size", "window", "n").agg(F.min(F.struct("found", "token", "offset")).alias("rarest"))
+    places = rarest.filter("rarest.found > 0").select("size", "rarest.token", "rarest.offset", "n").distinct()
+    candidates = (
+        hits.join(bounded(checkpointed(places)), ["size", "token"])
+        .withColumn("start", F.col("at") - F.col("offset"))
+        .filter("start >= 0 AND start + n <= n_words")
+    )
     grouped = checkpointed(candidates.groupBy("id", "hash").agg(F.collect_set(F.struct("start", "n")).alias("places")))
     # Only texts of documents with a candidate are dealt out.
     keys = bounded(grouped.select(F.col("id").alias("__id"), F.col("hash").alias("__hash")))
@@ -105,7 +139,8 @@ def occurrences(documents: DataFrame, items: DataFrame, width: int = 10, shingle
         ).alias("place"),
     ).select("id", "hash", "place.*")
     known = bounded(checkpointed(cut.select("window", F.col("n").alias("__n"))))
-    return spelt.join(known, "window", "left_semi").distinct()
+    found = spelt.join(known, "window", "left_semi").distinct()
+    return Occurrences(table.select("id", "hash", "n_words"), found)
 
 
 def covered(places: Column) -> Column:
@@ -124,7 +159,8 @@ def covered(places: Column) -> Column:
 
 def contamination(documents: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """Per document: doc_id, text_hash, n_words, n_hit, items (ids in order, as strings)."""
-    found = checkpointed(occurrences(documents, items, width))
+    seen = occurrences(documents, items, width)
+    found = checkpointed(seen.places)
     owners = checkpointed(windows(items, width).select("window", "item_id"))
     hits = (
         found.join(bounded(owners), "window")
@@ -132,11 +168,7 @@ def contamination(documents: DataFrame, items: DataFrame, width: int = 10) -> Da
         .agg(F.collect_set(F.struct("start", "n")).alias("places"), F.collect_set("item_id").alias("items"))
         .select("id", "hash", covered(F.col("places")).alias("n_hit"), F.array_sort("items").alias("items"))
     )
-    rows = documents.select(
-        "doc_id",
-        F.xxhash64("text").alias("text_hash"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"),
-    )
+    rows = seen.documents.select(F.col("id").alias("doc_id"), F.col("hash").alias("text_hash"), F.col("n_words").cast("long").alias("n_words"))
     return rows.join(
         hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left"
     ).select(
@@ -147,6 +179,6 @@ def contamination(documents: DataFrame, items: DataFrame, width: int = 10) -> Da
 
 def drop_contaminated(documents: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The documents without those that hold a window of an item."""
-    bad = occurrences(documents, items, width).select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct()
+    bad = occurrences(documents, items, width).places.select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct()
     bad = bounded(checkpointed(bad))
     return documents.join(bad, same_document(bad), "left_anti")

@@ -6,13 +6,16 @@ training documents, and adds its expected counts to those of the parts before (i
 from the counts of all of them: tasks run the scaled forward-backward recursion over their documents and add up expected counts, which
 Spark sums. The scaled forward recursion then gives the likelihood of every text.
 
-Word counts cover all training documents. The counts of the `lookup` most frequent words go to every task; those of all
+Every text is split into words once for the counts and once for its symbols, which are written as small integers; the first
+guess, the rounds and the scores read those. Word counts cover all training documents. The counts of the `lookup` most frequent words go to every task; those of all
 other words, which no hot key can be among, are joined. The first guess of the states comes from clusters of all training
 documents, whose sums every task adds up.
 
 Defined results: a null or empty text is the end token alone; repeated rows are scored, and learned from, as often as they
-occur; a null id counts as empty text for the hold-out; without training documents every token has count 0; an empty table
-gives no rows; columns besides `doc_id` and `text` are not looked at. Texts are read whole, whatever their length.
+occur; a null answer to whether a row is learned from counts as no; without training documents every token has count 0; an
+empty table gives no rows; ids may have any type, and columns besides `doc_id`, `text` and those that say what is learned from
+are not looked at. Texts are read whole; of a very long one the forward values of `CELLS` steps are held at a time, and those
+before are computed again from the borders between.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recspark.llm.langid import _clusters
@@ -57,6 +60,15 @@ class Vocabulary:
     def end(self) -> int:
         return self.own + self.classes
 
+    @property
+    def kind(self) -> np.dtype:
+        """The integers that symbols are written as."""
+        return np.dtype("<u2" if self.end < 1 << 16 else "<u4")
+
+    def read(self, column: pa.Array) -> list[np.ndarray]:
+        """Written symbol sequences."""
+        return [np.frombuffer(b, dtype=self.kind) for b in column.to_pylist()]
+
 
 def words(text: str | None) -> list[bytes]:
     """ASCII lower case, split at ASCII white space."""
@@ -128,7 +140,7 @@ def ranks_of(found: list[bytes], v: Vocabulary) -> np.ndarray:
 
 def symbols_of(found: list[bytes], v: Vocabulary, ranks: np.ndarray | None = None) -> np.ndarray:
     ranks = ranks_of(found, v) if ranks is None else ranks
-    out = np.full(len(found) + 1, v.end)
+    out = np.full(len(found) + 1, v.end, dtype=v.kind)
     common = ranks >= 0
     out[:-1][common] = v.symbols[ranks[common]]
     for i in np.flatnonzero(~common).tolist():
@@ -156,53 +168,70 @@ def batches_of(texts: list[np.ndarray]) -> Iterator[list[int]]:
 def _padded(texts: list[np.ndarray], group: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols by step and sequence (the longest first), and how many sequences reach each step."""
     lengths = np.array([len(texts[i]) for i in group])
-    grid = np.zeros((lengths[0], len(group)), dtype=np.int64)
+    grid = np.zeros((lengths[0], len(group)), dtype=texts[group[0]].dtype)
     for column, i in enumerate(group):
         grid[: len(texts[i]), column] = texts[i]
     alive = len(group) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
     return grid, alive
 
 
-def forward(grid: np.ndarray, alive: np.ndarray, model: Model, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """Natural log likelihood of each sequence; with `keep` also the scaled forward values and the scales."""
+def forward(
+    grid: np.ndarray, alive: np.ndarray, model: Model, before: np.ndarray | None = None, keep: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Natural log likelihood of each sequence and the last scaled forward values; with `keep` also all of them and the scales.
+
+    `before` are the forward values of the step before, if the grid goes on from there.
+    """
     logs = np.zeros(grid.shape[1])
     alphas = np.zeros((*grid.shape, len(model.start))) if keep else None
     scales = np.ones(grid.shape) if keep else None
-    alpha = np.broadcast_to(model.start, (grid.shape[1], len(model.start)))
+    alpha = np.broadcast_to(model.start, (grid.shape[1], len(model.start))) if before is None else before
     for t in range(len(grid)):
         n = alive[t]
-        alpha = (alpha[:n] @ model.move if t else alpha[:n]) * model.emit[grid[t, :n]]
+        alpha = (alpha[:n] if before is None and not t else alpha[:n] @ model.move) * model.emit[grid[t, :n]]
         scale = alpha.sum(axis=1)
         alpha = alpha / scale[:, None]
         logs[:n] += np.log(scale)
         if keep:
             alphas[t, :n], scales[t, :n] = alpha, scale
-    return logs, alphas, scales
+    return logs, alpha, alphas, scales
 
 
-def expected(texts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of starts, moves and emissions, and the log likelihood."""
+def expected(texts: list[np.ndarray], model: Model, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of starts, moves and emissions, and the log likelihood.
+
+    Forward values are kept for at most `cells` tokens; those of the parts before are computed again from the last ones of each.
+    """
     start, move, emit, total = np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit), 0.0
     for group in batches_of(texts):
         grid, alive = _padded(texts, group)
-        logs, alphas, scales = forward(grid, alive, model, True)
-        total += logs.sum()
+        steps = max(1, cells // len(group))
+        parts = [slice(at, at + steps) for at in range(0, len(grid), steps)]
+        befores = [None]
+        for part in parts[:-1]:
+            befores.append(forward(grid[part], alive[part], model, befores[-1])[1])
         beta = np.ones((alive[-1], len(model.start)))
-        for t in range(len(grid) - 1, -1, -1):
-            n = alive[t]
-            if n > len(beta):  # sequences that end here
-                beta = np.concatenate([beta, np.ones((n - len(beta), beta.shape[1]))])
-            onward = model.emit[grid[t, :n]] * beta / scales[t, :n, None]
-            alphas[t, :n] *= beta
-            if t:
-                # What came before: sequences n.. ended before this step.
-                move += alphas[t - 1, :n].T @ onward
-                beta = onward @ model.move.T
-        start += alphas[0].sum(axis=0)
-        inside = np.arange(grid.shape[1])[None] < alive[:, None]
-        seen, weight = grid[inside], alphas[inside]
-        for s in range(emit.shape[1]):
-            emit[:, s] += np.bincount(seen, weights=weight[:, s], minlength=len(emit))
+        for part, before in zip(reversed(parts), reversed(befores)):
+            here, left = grid[part], alive[part]
+            logs, _, alphas, scales = forward(here, left, model, before, True)
+            total += logs.sum()
+            for t in range(len(here) - 1, -1, -1):
+                n = left[t]
+                if n > len(beta):  # sequences that end here
+                    beta = np.concatenate([beta, np.ones((n - len(beta), beta.shape[1]))])
+                onward = model.emit[here[t, :n]] * beta / scales[t, :n, None]
+                alphas[t, :n] *= beta
+                previous = alphas[t - 1] if t else before
+                if previous is not None:
+                    # What came before: sequences n.. ended before this step.
+                    move += previous[:n].T @ onward
+                    beta = onward @ model.move.T
+            if before is None:
+                start += alphas[0].sum(axis=0)
+            inside = np.arange(here.shape[1])[None] < left[:, None]
+            seen, weight = here[inside], alphas[inside]
+            for s in range(emit.shape[1]):
+                emit[:, s] += np.bincount(seen, weights=weight[:, s], minlength=len(emit))
     return start, move * model.move, emit, total
 
 
@@ -213,20 +242,16 @@ def _unit(counts: np.ndarray) -> np.ndarray:
 
 
 def _guess(training: DataFrame, v: Vocabulary, states: int) -> np.ndarray:
-    """Emissions of each state from clusters of all training documents; every task adds up its own."""
+    """Emissions of each state from clusters of all training documents (hash, symbols); every task adds up its own."""
     spark, size = training.sparkSession, v.end + 1
-
-    def counts_of(texts: list[str | None]) -> np.ndarray:
-        return np.array([np.bincount(symbols_of(words(t), v), minlength=size) for t in texts], dtype=np.float32).reshape(-1, size)
-
     # Distinct texts to begin with; where the clusters end is up to the passes over all documents.
-    hashed = training.select("text", F.xxhash64("text").alias("h"))
-    least = hashed.select("h").distinct().orderBy("h").limit(SEEDS)
-    first = hashed.join(F.broadcast(least), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()
+    least = training.select("hash").distinct().orderBy("hash").limit(SEEDS)
+    first = training.join(F.broadcast(least), "hash", "left_semi").groupBy("hash").agg(F.min("symbols").alias("symbols")).orderBy("hash").toArrow()
     out = np.zeros((states, size))
-    if not first:
+    if not first.num_rows:
         return out
-    centre, _ = _clusters(_unit(counts_of([r["text"] for r in first])), states, 10, 0.0)
+    counts = [np.bincount(x, minlength=size) for x in v.read(first.column("symbols"))]
+    centre, _ = _clusters(_unit(np.array(counts, dtype=np.float32)), states, 10, 0.0)
     for _ in range(PASSES):
         shared = spark.sparkContext.broadcast((np.asarray(centre, dtype=np.float32), v))
 
@@ -234,8 +259,8 @@ def _guess(training: DataFrame, v: Vocabulary, states: int) -> np.ndarray:
             centre, v = shared.value
             sums = np.zeros((2, len(centre), size))
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    some, n = np.unique(symbols_of(words(text), v), return_counts=True)
+                for symbols in v.read(batch.column(0)):
+                    some, n = np.unique(symbols, return_counts=True)
                     unit = np.sqrt(n)
                     unit /= np.linalg.norm(unit)
                     near = (centre[:, some] @ unit).argmax()
@@ -245,7 +270,7 @@ def _guess(training: DataFrame, v: Vocabulary, states: int) -> np.ndarray:
             some = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], ["place", "n"])
 
-        found = training.select("text").mapInArrow(add_up, "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+        found = training.select("symbols").mapInArrow(add_up, "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
         flat = np.zeros(2 * len(centre) * size)
         flat[found["place"]] = found["n"]
         near, sums = flat.reshape(2, len(centre), size)
@@ -264,6 +289,7 @@ def normalised(start: np.ndarray, move: np.ndarray, emit: np.ndarray, v: Vocabul
 
 
 def train(training: DataFrame, v: Vocabulary, states: int, rounds: int, pseudo: float) -> Model:
+    """The model of the training documents (doc_id, hash, symbols)."""
     spark = training.sparkSession
     size = v.end + 1
     guess = _guess(training, v, states)
@@ -279,9 +305,9 @@ def train(training: DataFrame, v: Vocabulary, states: int, rounds: int, pseudo:
             for batch in batches:
                 held: list[np.ndarray] = []
                 tokens = 0
-                texts = batch.column(0).to_pylist()
+                texts = v.read(batch.column(0))
                 for i, text in enumerate(texts):
-                    held.append(symbols_of(words(text), v))
+                    held.append(text)
                     tokens += len(held[-1])
                     if tokens > 10 * CELLS or i == len(texts) - 1:
                         a, b, c, _ = expected(held, model)
@@ -291,7 +317,7 @@ def train(training: DataFrame, v: Vocabulary, states: int, rounds: int, pseudo:
             some = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], ["place", "n"])
 
-        part = training.filter(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == turn).select("text")
+        part = training.filter(F.pmod(F.xxhash64("doc_id", "hash", F.lit("round")), F.lit(rounds)) == turn).select("symbols")
         found = part.mapInArrow(add_up, "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
         if len(found):
             # Counts of the parts before stay, so that the last model is of all parts.
@@ -302,63 +328,89 @@ def train(training: DataFrame, v: Vocabulary, states: int, rounds: int, pseudo:
     return model
 
 
-def score(
-    documents: DataFrame, training: DataFrame, states: int = 8, rounds: int = 4, own: int = 8192, lookup: int = 150_000,
-    classes: int = 1024, pseudo: float = 100.0,
-) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score; logarithms to base 10."""
-    spark = documents.sparkSession
-    counted = checkpointed(count_words(training, classes))
-    v = vocabulary(counted, training.count(), own, lookup, classes)
-    model = train(training, v, states, rounds, pseudo)
-    shared = spark.sparkContext.broadcast((model, v))
-    names = ["doc_id", "row", "n_tokens", "known", "logs", "path", "rare", "times"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+def encoded(documents: DataFrame, v: Vocabulary) -> DataFrame:
+    """The documents (doc_id, text, learns) as symbols, with what the base score needs.
 
-    def run(ids: list, texts: list, first: int) -> pa.RecordBatch:
-        model, v = shared.value
-        sequences, out = [], []
+    row (a number of its own), doc_id, learns, hash (of the text), n_tokens, known, logs, path (of the words inside their classes), rare
+    and times (words beyond the lookup), symbols (written integers).
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(v)
+    names = ["row", "n_tokens", "known", "logs", "path", "rare", "times", "symbols"]
+    whole, real, word = pa.int64(), pa.float64(), pa.binary()
+    kinds = [whole, whole, whole, real, real, pa.list_(word), pa.list_(whole), word]
+
+    def run(texts: list[str | None], first: int) -> list[pa.Array]:
+        v = shared.value
         count_logs, class_logs = np.log10(v.counts + 1.0), np.log10(v.class_total)
-        for n, (doc_id, text) in enumerate(zip(ids, texts)):
+        out = []
+        for n, text in enumerate(texts):
             found = words(text)
             ranks = ranks_of(found, v)
             sequence = symbols_of(found, v, ranks)
-            sequences.append(sequence)
             common = ranks[ranks >= 0]
             rare = Counter([found[i] for i in np.flatnonzero(ranks < 0).tolist()])
             logs = float(count_logs[common].sum() + np.log10(v.ends + 1.0))
             # Inside its class a word has (count + 1) / class_total; counts of the rare ones are added after the join.
-            classed = sequence[:-1][sequence[:-1] >= v.own] - v.own
+            classed = sequence[:-1][sequence[:-1] >= v.own].astype(np.int64) - v.own
             inside = float(count_logs[common[common >= v.own]].sum() - class_logs[classed].sum())
             known = len(common) + (v.ends > 0)
-            out.append([doc_id, first + n, len(found) + 1, known, logs, inside, list(rare), list(rare.values())])
-        for group in batches_of(sequences):
-            logs, _, _ = forward(*_padded(sequences, group), model)
-            for i, value in zip(group, logs / np.log(10)):
-                out[i][5] += value
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+            out.append((first + n, len(found) + 1, known, logs, inside, list(rare), list(rare.values()), sequence.tobytes()))
+        return [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40  # a number of its own for each row of the written table
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for start in range(0, batch.num_rows, 4000):
-                part = batch.slice(start, 4000)
-                yield run(part.column(0).to_pylist(), part.column(1).to_pylist(), row)
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                more = run(part.column("text").to_pylist(), row)
+                same = [part.column(c) for c in ("doc_id", "learns", "hash")]
+                yield pa.RecordBatch.from_arrays([*same, *more], ["doc_id", "learns", "hash", *names])
                 row += part.num_rows
 
-    rows = checkpointed(
-        documents.select("doc_id", "text").mapInArrow(
-            scan, "doc_id long, row long, n_tokens long, known long, logs double, path double, rare array<binary>, times array<long>"
-        )
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+    schema = (
+        f"doc_id {id_type}, learns boolean, hash long, row long, n_tokens long, known long, logs double, path double, "
+        "rare array<binary>, times array<long>, symbols binary"
     )
-    asked = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), "w.times")
+    return checkpointed(documents.select("doc_id", "learns", F.xxhash64("text").alias("hash"), "text").mapInArrow(scan, schema))
+
+
+def score(
+    documents: DataFrame, learns: Column, states: int = 8, rounds: int = 4, own: int = 8192, lookup: int = 150_000,
+    classes: int = 1024, pseudo: float = 100.0,
+) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score; logarithms to base 10. `learns` says which rows train."""
+    spark = documents.sparkSession
+    rows = documents.select("doc_id", "text", F.coalesce(learns, F.lit(False)).alias("learns"))
+    training = rows.filter("learns")
+    counted = checkpointed(count_words(training, classes))
+    v = vocabulary(counted, training.count(), own, lookup, classes)
+    coded = encoded(rows, v)
+    model = train(coded.filter("learns").select("doc_id", "hash", "symbols"), v, states, rounds, pseudo)
+    shared = spark.sparkContext.broadcast((model, v))
+    names = ["doc_id", "row", "n_tokens", "known", "logs", "path"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, v = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                sequences, path = v.read(part.column("symbols")), np.array(part.column("path"))
+                for group in batches_of(sequences):
+                    path[group] += forward(*_padded(sequences, group), model)[0] / np.log(10)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names[:-1]], pa.array(path)], names)
+
+    id_type = coded.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {id_type}, row long, n_tokens long, known long, logs double, path double"
+    scored = coded.select(*names, "symbols").mapInArrow(run, schema)
+    asked = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), "w.times")
     rare = (
         asked.join(counted.select("word", "n"), "word")
         .groupBy("row")
         .agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
     )
     more = F.coalesce("more_logs", F.lit(0.0))
-    return rows.join(rare, "row", "left").select(
+    return scored.join(rare, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + more - F.col("n_tokens") * F.lit(float(np.log10(v.tokens + v.distinct + 1)))).alias("base_score"),

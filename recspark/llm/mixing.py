@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from recspark.llm.common import SPACED_WORD, chunks_for, permuted, running_sum
 from recspark.session import checkpointed
@@ -242,18 +243,13 @@ def taken(mixture: Mixture) -> DataFrame:
 def texts(mixture: Mixture, documents: DataFrame) -> DataFrame:
     """The mixed texts: one row per span with its words joined by single spaces; extra columns: doc_id and source."""
     length = mixture.block_words
-    places = mixture.documents.filter("size > 0").groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("number", "before")).alias("places")
+    places = mixture.documents.filter("size > 0").select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "number", "before"
     )
     found = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).dropDuplicates(["doc_id", "text_hash"])
-    rows = (
-        found.join(
-            places.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}),
-            F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")),
-        )
-        .select("doc_id", "text", F.explode("places").alias("place"))
-        .select("doc_id", "text", "place.*")
-    )
+    # A row per place of a document, so that one that is repeated very often is no large row.
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    rows = found.join(places, same).select("doc_id", "text", "number", "before")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,9 +269,10 @@ def texts(mixture: Mixture, documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     names = ["doc_id", "number", "block", "at", "n_words", "first_word", "piece"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    id_type = rows.schema["doc_id"].dataType
+    kinds = [to_arrow_type(id_type), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
     pieces = rows.mapInArrow(
-        cut, "doc_id long, number int, block long, at long, n_words long, first_word long, piece string"
+        cut, f"doc_id {id_type.simpleString()}, number int, block long, at long, n_words long, first_word long, piece string"
     )
     names_of = F.broadcast(
         documents.sparkSession.createDataFrame([(s.number, s.name) for s in mixture.sources], "number int, source string")

@@ -146,6 +146,7 @@ _NORMAL = NormalDist()
 _CHANCES = [_NORMAL.cdf(-i / secretscan.GRID) for i in range(-secretscan.FURTHEST * secretscan.GRID, secretscan.FURTHEST * secretscan.GRID + 1)]
 _BANDS = " + ".join(f"CAST(n >= {b} AS INTEGER)" for b in secretscan.BANDS)
 _RANDOM = len(_SHAPES) - 1
+_ONE_CASE = ", ".join(str(i) for i, name in enumerate(secretscan.ALPHABETS) if name in secretscan.ONE_CASE)
 
 ORACLES["op11_secrets"] = f"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
@@ -178,7 +179,11 @@ sums AS (
   SELECT w FROM (SELECT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_-]+')) AS w FROM d) WHERE length(w) < {secretscan.SHORTEST}
 ), used AS (SELECT sign, count(*) AS c FROM (SELECT unnest(string_split(w, '')) AS sign FROM words) GROUP BY sign),
 members AS (SELECT enc, unnest(string_split(letters, '')) AS sign FROM alphabet),
-shares AS (SELECT enc, (coalesce(c, 0) + 1.0) / sum(coalesce(c, 0) + 1.0) OVER (PARTITION BY enc) AS p FROM members LEFT JOIN used USING (sign)),
+folded AS (SELECT lower(sign) AS sign, sum(c) AS c FROM used GROUP BY 1),
+counted AS (
+  SELECT enc, c FROM members LEFT JOIN used USING (sign) WHERE enc NOT IN ({_ONE_CASE})
+  UNION ALL SELECT enc, c FROM members m LEFT JOIN folded f ON lower(m.sign) = f.sign WHERE enc IN ({_ONE_CASE})
+), shares AS (SELECT enc, (coalesce(c, 0) + 1.0) / sum(coalesce(c, 0) + 1.0) OVER (PARTITION BY enc) AS p FROM counted),
 ordinary AS (SELECT enc, sum(pow(p, 2)) AS s2, sum(pow(p, 3)) AS s3 FROM shares GROUP BY enc),
 below AS (
   SELECT meas.id, meas.s, meas.n, meas.m, chi, runs, serial, (meas.n + meas.n * (meas.n - 1) * s2 - squares)

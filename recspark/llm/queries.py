@@ -69,8 +69,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates in place of personal data, and how many mentions were replaced."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(pii.mentions("text")).alias("n_mentions"))
-    return pii.pseudonymise(documents, "op4")
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "op4", count="n_mentions")
 
 
 @query
@@ -91,7 +90,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every document; a seventh of the documents is held out from learning."""
     documents = table(spark, sf_dir, "documents")
-    found = hmm.score(documents, documents.filter(remainder("doc_id", 7) != 2))
+    found = hmm.score(documents, remainder("doc_id", 7) != 2)
     return found.withColumn("held_out", remainder("doc_id", 7) == 2)
 
 

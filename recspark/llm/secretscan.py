@@ -6,7 +6,7 @@ of its characters in that alphabet three tests ask whether it looks random: chi-
 number of runs in the lower and upper half, and the serial correlation of neighbours. A candidate that any of them rejects
 (at `ALPHA`, shared among the three) is ordinary.
 
-What is left must also be unlike ordinary text. The ordinary use of each alphabet is counted over all shorter runs of all texts;
+What is left must also be unlike ordinary text. The ordinary use of each alphabet is counted over all shorter runs of all texts (of letters in either case, if the alphabet has one);
 under it the chi-squared value of a token of n characters has a known mean and deviation, so a candidate far
 below the mean is a discovery, and a short one, for which both look alike, is not. The false discovery rate is held at `RATE`
 by the step-up rule of Benjamini and Hochberg, within bands of lengths, so that many short candidates do not lower the bar for long ones.
@@ -38,6 +38,7 @@ KINDS = [*SHAPES, "random"]
 SHORTEST = 20
 TOKEN = "[A-Za-z0-9+/_-]"
 LETTERS = string.ascii_uppercase + string.ascii_lowercase
+ONE_CASE = ["decimal", "hex", "HEX", "base32", "base36", "BASE36"]
 # From the smallest on. An alphabet's half is the lower or upper part in this order.
 ALPHABETS = {
     "decimal": string.digits,
@@ -132,11 +133,19 @@ def ordinary_use(documents: DataFrame) -> DataFrame:
     runs = documents.select(F.explode(F.regexp_extract_all("text", F.lit(f"{TOKEN}++"), F.lit(0))).alias("run"))
     counted = runs.filter(F.length("run") < SHORTEST).groupBy("run").agg(F.count("*").alias("times"))
     signs = counted.select(F.explode(F.split("run", "")).alias("sign"), "times").groupBy("sign").agg(F.sum("times").alias("times"))
+    signs = checkpointed(signs)
     # At most one row per character and alphabet; every character counts at least once.
     alphabets = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])
     members = documents.sparkSession.range(1).select(F.explode(alphabets).alias("encoding", "alphabet"))
     members = members.select("encoding", F.explode(F.split("alphabet", "")).alias("sign"))
-    use = members.join(F.broadcast(signs), "sign", "left").select("encoding", (F.coalesce("times", F.lit(0)) + 1.0).alias("times"))
+    # In an alphabet of one case a letter stands for both, or capitals would look unused in most texts.
+    folded = signs.groupBy(F.lower("sign").alias("sign")).agg(F.sum("times").alias("times"))
+    one_case = F.col("encoding").isin(ONE_CASE)
+    use = (
+        members.filter(~one_case).join(F.broadcast(signs), "sign", "left")
+        .unionByName(members.filter(one_case).withColumn("sign", F.lower("sign")).join(F.broadcast(folded), "sign", "left"))
+        .select("encoding", (F.coalesce("times", F.lit(0)) + 1.0).alias("times"))
+    )
     share = use.withColumn("share", F.col("times") / F.sum("times").over(Window.partitionBy("encoding")))
     return share.groupBy("encoding").agg(F.sum(F.pow("share", F.lit(2))).alias("s2"), F.sum(F.pow("share", F.lit(3))).alias("s3"))
 

@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recspark.llm.common import bounded, same_document
@@ -250,6 +250,7 @@ def least_stays(documents: DataFrame, found: DataFrame) -> DataFrame:
     rest = documents.join(gone, same_document(gone), "left_anti")
     # Of rows that are equal in id and text, one stays.
     repeated = bounded(judged.filter("stays").select("__id", "__hash"))
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    firsts = documents.join(repeated, same_document(repeated), "left_semi").withColumn("__nth", F.row_number().over(once))
-    return rest.unionByName(firsts.filter("__nth = 1").drop("__nth"))
+    copies = documents.join(repeated, same_document(repeated), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    firsts = copies.groupBy(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h")).agg(F.first(row).alias("r"))
+    return rest.unionByName(firsts.select("r.*"))
