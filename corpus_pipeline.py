@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recspark.llm import decontaminate, mixing, nearcopies, pii, quality
+from recspark.llm import decontaminate, mixing, pii, quality, simhash
 from recspark.llm.common import table
 from recspark.session import work_path
 
@@ -20,8 +20,8 @@ def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
-    return nearcopies.keep_one(docs)
+    """Of each group of near copies (fingerprints of four-word shingles, four bits apart at most) the smallest id stays."""
+    return simhash.keep_one(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
