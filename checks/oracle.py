@@ -269,6 +269,8 @@ ORACLES["embedding_cache"] = sql(
         FROM documents d JOIN doc_vectors USING (doc_id)""",
     doc_vectors=embedded("documents", "doc_id", "text"))
 ORACLES["user_profile_mean"] = sql(f"SELECT query_id AS reviewerID, {SHOWN} FROM mean_profiles")
+ORACLES["user_profile_updated"] = sql(
+    f"SELECT reviewerID, {SHOWN} FROM whole", whole=aggregated("feed", "avg", "reviewerID", "(SELECT asin, embedding FROM vectors)"))
 ORACLES["user_profile_max"] = sql(f"SELECT query_id AS reviewerID, {SHOWN} FROM max_profiles")
 ORACLES["user_profile_weighted"] = sql(
     f"SELECT reviewerID, {SHOWN} FROM weighted",
@@ -301,6 +303,27 @@ ORACLES["ivf_topk_probed"] = sql(
               FROM near p JOIN vectors q ON q.asin = p.asin JOIN near n ON n.cell = p.cell AND n.place = 1
               JOIN vectors v ON v.asin = n.asin)
         QUALIFY rank <= 100""")
+ORACLES["skipping_topk"] = ORACLES["exact_topk"]
+ORACLES["tree_topk_probed"] = sql(
+    "SELECT * FROM found",
+    labelled="SELECT asin, CAST(label AS INT) AS branch, CAST(label * 3 + CAST(asin AS BIGINT) % 3 AS INT) AS cell FROM vectors WHERE label IS NOT NULL",
+    branches=aggregated("labelled", "avg", "branch", "(SELECT asin, embedding FROM vectors)"),
+    leaves=aggregated("labelled", "avg", "cell", "(SELECT asin, embedding FROM vectors)"),
+    near="""
+        SELECT asin, branch, row_number() OVER (PARTITION BY asin ORDER BY score DESC, branch) AS place
+        FROM (SELECT v.asin, b.branch, list_inner_product(CAST(v.embedding AS DOUBLE[]), b.embedding) AS score FROM vectors v, branches b)
+        QUALIFY place <= 2""",
+    scored="""
+        SELECT n.asin, n.place, l.cell, list_inner_product(CAST(v.embedding AS DOUBLE[]), l.embedding) AS score
+        FROM near n JOIN vectors v USING (asin) JOIN leaves l ON l.cell // 3 = n.branch""",
+    own="SELECT asin, cell FROM scored WHERE place = 1 QUALIFY row_number() OVER (PARTITION BY asin ORDER BY score DESC, cell) = 1",
+    probed="SELECT asin, cell FROM scored QUALIFY row_number() OVER (PARTITION BY asin ORDER BY score DESC, cell) <= 2",
+    found="""
+        SELECT query_id, asin, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, asin) AS INT) AS rank
+        FROM (SELECT q.asin AS query_id, v.asin,
+                round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) + 0.0 AS score
+              FROM probed p JOIN vectors q ON q.asin = p.asin JOIN own o ON o.cell = p.cell JOIN vectors v ON v.asin = o.asin)
+        QUALIFY rank <= 100""")
 ORACLES["two_stage_topk"] = sql(
     "SELECT * FROM exact",
     asked=SELF,
@@ -688,7 +711,19 @@ BLOCKS |= {
 }
 ORACLES["utility_matrix"] = sql("SELECT * FROM ratings")
 ORACLES["svd_item_energy"] = sql(
-    "SELECT item AS asin, round(sum(rating * rating), 3) + 0.0 AS energy FROM ratings WHERE rating <> 0 GROUP BY 1")
+    "SELECT item AS asin, round(round(sum(rating * rating), 9), 3) + 0.0 AS energy FROM ratings WHERE rating <> 0 GROUP BY 1")
+# The largest eigenvalue of the items by items product, by repeated multiplication.
+ORACLES["svd_truncated_energy"] = sql(
+    """SELECT round(round(total, 9), 2) AS total, round(captured, 2) AS captured, round(total - captured, 2) AS residual
+       FROM (SELECT sum(rating * rating) AS total FROM ratings), (SELECT max(size) AS captured FROM power WHERE n = 200)""",
+    power="""
+        SELECT 0 AS n, item, CAST(1 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS size FROM (SELECT DISTINCT item FROM ratings)
+        UNION ALL
+        SELECT n + 1, item, y / z, z FROM (
+          SELECT n, item, y, sqrt(sum(y * y) OVER ()) AS z FROM (
+            SELECT t.n, r.item, sum(r.rating * t.t) AS y FROM ratings r JOIN (
+              SELECT "user", any_value(n) AS n, sum(rating * x) AS t FROM ratings JOIN power USING (item) WHERE n < 200 GROUP BY 1
+            ) t ON r."user" = t."user" GROUP BY t.n, r.item))""").replace("WITH ", "WITH RECURSIVE ", 1)
 ORACLES["item_neighbors"] = sql("SELECT * FROM close")
 ORACLES["cf_recommend_factors"] = sql("""
     SELECT "user", rank, asin, score,

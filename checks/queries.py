@@ -11,12 +11,13 @@ from checks import fixtures as fx
 from recspark.functions import prompts, replies, rules, text
 from recspark.functions.replies import with_replied_criteria, with_replied_eco_score
 from recspark.functions.rules import with_eco_score, with_search_criteria
-from recspark.operators import catalogue, cells, compare, embed, evaluate, filtering, history, popularity, rerank, search
+from recspark.operators import catalogue, cells, compare, cones, embed, evaluate, filtering, history, popularity, rerank, search, tree
+from recspark.operators import profiles
 from recspark.operators.profiles import blend_query_vectors, profile_vectors
 from recspark.plans import recommend
 from recspark.plans.batch import run_batch
 from recspark.session import checkpointed, work_path
-from recspark.sources import jsonl, tables
+from recspark.sources import jsonl, tables, versions
 from recspark.streaming import delta_vectors
 from recspark.streaming import product_stats as stats_stream
 
@@ -215,8 +216,20 @@ def user_profile_max(spark, sf_dir):
 @query
 def user_profile_weighted(spark, sf_dir):
     rows = history.recent_best(fx.feed(spark, sf_dir), 20)
-    profiles = profile_vectors(rows, fx.vectors(spark, sf_dir), "weighted_mean", weight="rating")
-    return profiles.select("reviewerID", shown().alias("embedding"))
+    weighted = profile_vectors(rows, fx.vectors(spark, sf_dir), "weighted_mean", weight="rating")
+    return weighted.select("reviewerID", shown().alias("embedding"))
+
+
+@query
+def user_profile_updated(spark, sf_dir):
+    """Stored sums of the even events, then the odd ones added: the profiles over all events."""
+    feed, vectors = fx.feed(spark, sf_dir), fx.vectors(spark, sf_dir)
+    store = versions.VersionedTable(spark, work_path(spark, "profiles"))
+    odd = F.col("review_id").cast("bigint") % 2 == 1
+    profiles.update_profiles(store, feed.filter(~odd), vectors, "first")
+    for _ in range(2):  # the second time adds nothing
+        profiles.update_profiles(store, feed.filter(odd), vectors, "second")
+    return profiles.stored_profiles(store).select("reviewerID", shown().alias("embedding"))
 
 
 def user_text_vectors(spark, sf_dir) -> DataFrame:
@@ -225,8 +238,8 @@ def user_text_vectors(spark, sf_dir) -> DataFrame:
 
 @query
 def blend_query_vector(spark, sf_dir):
-    profiles = feed_profiles(spark, sf_dir).withColumnRenamed("reviewerID", "query_id")
-    blended = blend_query_vectors(profiles, user_text_vectors(spark, sf_dir))
+    known = feed_profiles(spark, sf_dir).withColumnRenamed("reviewerID", "query_id")
+    blended = blend_query_vectors(known, user_text_vectors(spark, sf_dir))
     return blended.select("query_id", shown().alias("embedding"))
 
 
@@ -264,6 +277,30 @@ def ivf_topk_probed(spark, sf_dir):
     return cells.ivf_topk(as_queries(items), placed, centroids, 100, n_probe=2)
 
 
+@query
+def skipping_topk(spark, sf_dir):
+    """Blocks by direction, skipped by their bounds: the rows of exact search."""
+    vectors = fx.vectors(spark, sf_dir).select("asin", "embedding")
+    index = cones.build_cones(vectors, cells.train_centroids(vectors, 64), 64)
+    return cones.skipping_topk(as_queries(vectors), index, 100)[0]
+
+
+@query
+def tree_topk_probed(spark, sf_dir):
+    """Labels as branches, three leaves each by the number of the vector, two of them probed in the two nearest branches."""
+    vectors = fx.vectors(spark, sf_dir).select("asin", "embedding", F.col("label").cast("int").alias("branch"))
+    placed = vectors.withColumn("cell", (F.col("branch") * 3 + F.col("asin").cast("bigint") % 3).cast("int")).filter("branch IS NOT NULL")
+    items = vectors.drop("branch")
+    branches = profile_vectors(placed.select("asin", "branch"), items, user="branch")
+    leaves = profile_vectors(placed.select("asin", "cell"), items, user="cell")
+    rows = branches.select("branch", F.lit(None).cast("int").alias("cell"), F.col("embedding").alias("centroid")).unionByName(
+        leaves.select(F.floor(F.col("cell") / 3).cast("int").alias("branch"), "cell", F.col("embedding").alias("centroid"))
+    )
+    known = tree.read_tree(rows)
+    placed = checkpointed(tree.assign_leaves(items, known))
+    return tree.tree_topk(as_queries(items), placed, known, 100, n_branches=2, n_probe=2)
+
+
 @query
 def two_stage_topk(spark, sf_dir):
     placed, centroids, n_cells = stored_cells(spark, sf_dir)
@@ -305,8 +342,8 @@ def multi_query_topk(spark, sf_dir):
 
 
 def feed_candidates(spark, sf_dir, how="mean", k=100) -> DataFrame:
-    profiles = checkpointed(feed_profiles(spark, sf_dir, how).withColumnRenamed("reviewerID", "query_id"))
-    return search.exact_topk(profiles, fx.vectors(spark, sf_dir), k)
+    asked = checkpointed(feed_profiles(spark, sf_dir, how).withColumnRenamed("reviewerID", "query_id"))
+    return search.exact_topk(asked, fx.vectors(spark, sf_dir), k)
 
 
 @query
@@ -585,7 +622,19 @@ def svd_item_energy(spark, sf_dir):
     matrix = checkpointed(filtering.utility_matrix(fx.feed(spark, sf_dir)))
     factors = filtering.item_factors(matrix, matrix.select("item").distinct().count())
     squared = F.aggregate("factors", F.lit(0.0), lambda total, x: total + x * x)
-    return factors.select("asin", (F.round(squared, 3) + F.lit(0.0)).alias("energy"))
+    # First what floats add, so that a tie at the third digit is one in both engines.
+    return factors.select("asin", (F.round(F.round(squared, 9), 3) + F.lit(0.0)).alias("energy"))
+
+
+@query
+def svd_truncated_energy(spark, sf_dir):
+    """All energy of the ratings, and what one component and its residual hold of it."""
+    matrix = checkpointed(filtering.utility_matrix(fx.feed(spark, sf_dir)))
+    svd = filtering.truncated_svd(matrix, 1, tolerance=1e-13, max_rounds=60)
+    held = svd.factors.agg(F.sum(F.aggregate("factors", F.lit(0.0), lambda total, x: total + x * x)).alias("held"))
+    return held.select(
+        F.round(F.round(F.lit(svd.total), 9), 2).alias("total"), F.round("held", 2).alias("captured"), F.lit(round(svd.residual, 2)).alias("residual")
+    )
 
 
 @query

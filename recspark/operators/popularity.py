@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recspark.functions.numbers import fixed
 from recspark.functions.popularity import popularity_score
 from recspark.operators.ranking import best_first, exclude_items, top_overall, top_per_group
+from recspark.session import checkpointed
 
 POPULAR_POOL = 1000  # what the ranking of the most popular products shows
 BROADCAST_ROWS = 100_000
@@ -45,25 +46,44 @@ def recommend_popular(products: DataFrame, k: int = 10, excluded: DataFrame | No
 
 
 def recommend_popular_for_users(
-    products: DataFrame, users: DataFrame, excluded: DataFrame, k: int = 10
+    products: DataFrame, users: DataFrame, excluded: DataFrame, k: int = 10, *, first: int = 64
 ) -> DataFrame:
     """The k most popular products for each of `users(query_id)`, without that user's `excluded(query_id, asin)`.
 
-    A user is given k products and one more per excluded id, which is enough whatever is excluded; the pool is as deep as
-    the user with most exclusions needs.
+    The ranking is read in blocks, each twice as long as the one before; a user goes on to the next block only while short of k. So one
+    user's many exclusions cost the others nothing.
     """
-    ids = excluded.select("query_id", "asin").distinct()
-    own = ids.groupBy("query_id").agg(F.count("*").alias("n"))
-    deepest = k + (own.agg(F.max("n")).first()[0] or 0)
-    pool = popularity_topk(products, deepest).select(F.col("rank").alias("place"), "asin", "score")
-    if deepest <= BROADCAST_ROWS:
-        pool = F.broadcast(pool)
-    depth = (F.lit(k) + F.coalesce("n", F.lit(0))).cast("int")
-    given = users.select("query_id").distinct().join(own, "query_id", "left").select(
-        "query_id", F.explode(F.sequence(F.lit(1), depth)).alias("place")
-    )
-    left = exclude_items(given.join(pool, "place"), ids, ["query_id", "asin"])
-    return top_per_group(left.drop("place"), ["query_id"], best_first(), k)
+    ids = checkpointed(excluded.select("query_id", "asin").distinct())
+    scored = products.withColumn("score", popularity_score(F.col("avg_rating"), F.col("num_reviews"))).select("asin", "score")
+    ranked = checkpointed(scored)
+    n_products = ranked.count()
+    short = checkpointed(users.select("query_id").distinct().withColumn("have", F.lit(0)))
+    found, begin, size, above = [], 0, max(first, k), None
+    while begin < n_products and not short.isEmpty():
+        # What comes after the last product of the block before; a limit, so no task sorts the whole ranking.
+        rest = ranked if above is None else ranked.filter(
+            (F.col("score") < above["score"]) | ((F.col("score") == above["score"]) & (F.col("asin") > above["asin"]))
+        )
+        block = checkpointed(rest.orderBy(*best_first()).limit(size))
+        above = block.orderBy(F.col("score").asc(), F.col("asin").desc()).first()
+        if above is None:
+            break
+        # At most `size` rows; beyond BROADCAST_ROWS Spark decides.
+        given = short.crossJoin(F.broadcast(block) if size <= BROADCAST_ROWS else block)
+        left = exclude_items(given, ids, ["query_id", "asin"])
+        best = top_per_group(left, ["query_id"], best_first(), k).filter(F.col("rank") <= k - F.col("have"))
+        found.append(checkpointed(best.select("query_id", "asin", "score", (F.col("rank") + F.col("have")).cast("int").alias("rank"))))
+        more = found[-1].groupBy("query_id").agg(F.max("rank").alias("now"))
+        short = short.join(more, "query_id", "left").select("query_id", F.coalesce("now", "have").alias("have")).filter(F.col("have") < k)
+        short = checkpointed(short)
+        begin, size = begin + size, size * 2
+    if not found:
+        kinds = f"query_id {dict(users.dtypes)['query_id']}, asin {dict(products.dtypes)['asin']}, score double, rank int"
+        return users.sparkSession.createDataFrame([], kinds)
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return rows
 
 
 def popular_fallback(products: DataFrame, k: int = 10) -> DataFrame:

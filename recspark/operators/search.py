@@ -1,23 +1,30 @@
 """Inner-product search for many queries at once.
 
-Items and queries are cut into blocks of bounded size by a hash of their id; a query block
-meets an item block in one task, which multiplies the two matrices and keeps the k best
-items per query. A large cell, shard or table only means more blocks, never a larger task.
-No vector passes through the driver and nothing is broadcast but the per-cell block counts.
+Queries are cut into blocks of bounded size by a hash of their id, items into strips. A task takes one block and one strip: it holds the
+queries, reads the items batch by batch in the order of their ids, and keeps one running list of the k best per query. However many items a strip
+has, a query leaves it with at most k rows; the lists of several strips or cells are merged in levels, so that no merge reads
+more than `FAN_IN` lists of a query. A large cell, shard or table only means longer strips or more of them, never a larger
+task. No vector passes through the driver and nothing is broadcast but the per-cell counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recspark.functions.numbers import SCORE_DIGITS
 from recspark.operators.ranking import best_first, exclude_items, top_per_group
+from recspark.session import checkpointed
 
 BLOCK_BYTES = 16 * 1024 * 1024
-PAIRS_PER_TASK = 2_000_000
+LIST_ROWS = 2_000_000
+PAIRS_PER_TASK = 4_000_000
+TASKS = 65_536
 MAX_CELLS = 65_536
+FAN_IN = 8
 FLAT_LIMIT = 50_000
 
 
@@ -33,113 +40,184 @@ def vector_dim(vectors: DataFrame, column: str = "embedding") -> int:
     return row["dim"]
 
 
-def _block_counts(n_items: int, n_queries: int, dim: int, tasks_wanted: int) -> tuple[int, int]:
-    """How many item blocks and query blocks one cell gets."""
-    rows = max(1024, BLOCK_BYTES // (4 * dim))
-    item_blocks = max(1, -(-n_items // rows))
-    query_blocks = max(1, -(-n_queries // rows))
-    by_work = -(-n_items * n_queries // (PAIRS_PER_TASK * item_blocks))
-    by_cores = -(-tasks_wanted // item_blocks)
-    return item_blocks, max(query_blocks, min(by_work, by_cores))
+def _block_counts(n_items: int, n_queries: int, dim: int, tasks_wanted: int, k: int = 100) -> tuple[int, int]:
+    """How many strips of items and blocks of queries one cell gets.
+
+    A block's vectors and lists are bounded. More than that, there are as many tasks as the work is worth, at most `tasks_wanted`; strips are cut only where there are
+    too few queries for that many blocks, because every block reads all strips.
+    """
+    rows = max(64, min(BLOCK_BYTES // (8 * dim), LIST_ROWS // max(1, k)))
+    wanted = min(tasks_wanted, -(-n_items * n_queries // PAIRS_PER_TASK))
+    query_blocks = max(1, -(-n_queries // rows), min(wanted, -(-n_queries // 64)))
+    strips = max(1, min(-(-wanted // query_blocks), -(-n_items // 1024)))
+    return strips, query_blocks
+
+
+class _RunningLists:
+    """The best items of each query of a block, kept while items come in batch by batch in the order of their ids.
+
+    Earlier items win ties, so only the place in this order is kept, beside the ids that some list still names.
+    """
+
+    def __init__(self, query_ids, vectors, depths, digits: int):
+        import numpy as np
+
+        self.np = np
+        self.query_ids, self.vectors, self.depths, self.unit = query_ids, vectors, depths, 10.0**digits
+        self.rows, self.places, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.border = np.full(len(depths), -np.inf)
+        self.border[depths <= 0] = np.inf
+        self.ids, self.seen = [], 0
+
+    def add(self, ids, items) -> None:
+        np, n = self.np, len(items)
+        right = items.T
+        parts = [(self.rows, self.places, self.values)]
+        step = max(1, 4_000_000 // n)
+        for start in range(0, len(self.vectors), step):
+            raw = self.vectors[start : start + step] @ right
+            scores = np.copysign(np.floor(np.abs(raw) * self.unit + 0.5) / self.unit, raw) + 0.0
+            better = scores > self.border[start : start + step, None]
+            deepest = int(self.depths[start : start + step].max())
+            if 0 < deepest < n:
+                better &= scores >= np.partition(scores, n - deepest, axis=1)[:, n - deepest, None]
+            rows, columns = np.nonzero(better)
+            parts.append((rows + start, columns + self.seen, scores[rows, columns]))
+        self.ids.append(ids)
+        self.seen += n
+        if any(len(p[0]) for p in parts[1:]):
+            rows, places, values = (np.concatenate(p) for p in zip(*parts))
+            order = np.lexsort((places, -values, rows))
+            rows, places, values = rows[order], places[order], values[order]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            keep = rank < self.depths[rows]
+            self.rows, self.places, self.values = rows[keep], places[keep], values[keep]
+            last = rank == self.depths[rows] - 1
+            self.border[rows[last]] = values[last]
+        if self.seen > 1_000_000 + 4 * len(self.rows):
+            self._forget()
+
+    def _forget(self) -> None:
+        """Drops the ids that no list names any more."""
+        import pyarrow as pa
+
+        used = self.np.unique(self.places)
+        self.ids = [pa.chunked_array(self.ids).take(pa.array(used)).combine_chunks()]
+        self.places, self.seen = self.np.searchsorted(used, self.places), len(used)
+
+    def table(self, key: tuple):
+        import pyarrow as pa
+
+        np = self.np
+        rank = np.arange(len(self.rows)) - np.searchsorted(self.rows, self.rows) + 1
+        items = pa.chunked_array(self.ids).take(pa.array(self.places)).combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [self.query_ids.take(pa.array(self.rows)), items, pa.array(self.values), pa.array(rank.astype(np.int32)),
+             pa.array(np.full(len(rank), (int(key[0]) * 7919 + int(key[2])) % (1 << 31), dtype=np.int32))],
+            names=["query_id", "asin", "score", "rank", "list"],
+        )
 
 
 def _search_kernel(digits: int):
-    """The task body: block of queries x block of items -> the `depth` best items of every query."""
+    """The task body: rows in the order of (cell, block, strip), first the queries of each, then its items by id."""
 
-    def kernel(queries, items):
+    def vectors(batch, name):
+        import numpy as np
+
+        column = batch.column(name)
+        return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+
+    def kernel(batches):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        def matrix(table, name):
-            column = table.column(name).combine_chunks()
-            return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
-
-        names = ["query_id", "asin", "score", "rank"]
-        query_ids = queries.column("query_id").combine_chunks()
-        item_ids = items.column("asin").combine_chunks()
-        if len(query_ids) == 0 or len(item_ids) == 0:
-            empty = [query_ids.slice(0, 0), item_ids.slice(0, 0)]
-            return pa.table([*empty, pa.array([], pa.float64()), pa.array([], pa.int32())], names=names)
-        left, right = matrix(queries, "query_vector"), matrix(items, "item_vector").T
-        depths = np.asarray(queries.column("depth").combine_chunks())
-        n_items = right.shape[1]
-        id_order = np.empty(n_items, dtype=np.int64)
-        id_order[np.asarray(pc.sort_indices(item_ids))] = np.arange(n_items)
-        unit = 10.0**digits
-        step = max(1, 4_000_000 // n_items)
-        parts = []
-        for start in range(0, left.shape[0], step):
-            raw = left[start : start + step] @ right
-            scores = np.copysign(np.floor(np.abs(raw) * unit + 0.5) / unit, raw) + 0.0
-            depth = depths[start : start + step]
-            deepest = int(depth.max())
-            if n_items > deepest:
-                border = np.partition(scores, n_items - deepest, axis=1)[:, n_items - deepest]
-                rows, cols = np.nonzero(scores >= border[:, None])
-            else:
-                rows, cols = np.divmod(np.arange(scores.size), n_items)
-            values = scores[rows, cols]
-            order = np.lexsort((id_order[cols], -values, rows))
-            rows, cols, values = rows[order], cols[order], values[order]
-            first = np.searchsorted(rows, rows)
-            rank = np.arange(len(rows)) - first + 1
-            keep = rank <= depth[rows]
-            parts.append((rows[keep] + start, cols[keep], values[keep], rank[keep]))
-        rows, cols, values, rank = (np.concatenate(p) for p in zip(*parts))
-        return pa.table(
-            [query_ids.take(pa.array(rows)), item_ids.take(pa.array(cols)), values, rank.astype(np.int32)],
-            names=names,
-        )
+
+        key, asked, lists = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(c)) for c in ("cell", "block", "strip", "side")])
+            starts = np.flatnonzero(np.append(True, (np.diff(keys) != 0).any(axis=0)))
+            for start, stop in zip(starts, np.append(starts[1:], batch.num_rows)):
+                part, now, side = batch.slice(start, stop - start), tuple(keys[:3, start]), keys[3, start]
+                if now != key:
+                    if lists is not None and len(lists.rows):
+                        yield lists.table(key)
+                    key, asked, lists = now, [], None
+                if not side:
+                    asked.append((part.column("query_id"), vectors(part, "query_vector"), np.asarray(part.column("depth"))))
+                elif asked or lists is not None:
+                    if lists is None:
+                        ids, rows, depths = zip(*asked)
+                        ids = pa.chunked_array(ids).combine_chunks()
+                        lists, asked = _RunningLists(ids, np.concatenate(rows), np.concatenate(depths), digits), []
+                    lists.add(part.column("asin"), vectors(part, "item_vector"))
+        if lists is not None and len(lists.rows):
+            yield lists.table(key)
 
     return kernel
 
 
-def _score_blocks(queries: DataFrame, items: DataFrame, keys: list[str], n_tasks: int, digits: int) -> DataFrame:
-    """Bring the query block and the item block of every key together and score them."""
+def _score_blocks(queries: DataFrame, items: DataFrame, n_tasks: int, digits: int) -> DataFrame:
+    """`(query_id, asin, score, rank, list)`: the best items of every query in each strip of each of its cells.
+
+    Both sides have the columns cell, block and strip; together they are dealt out and sorted by them.
+    """
+    query_id, item_id = queries.schema["query_id"], items.schema["asin"]
     schema = T.StructType(
         [
-            queries.schema["query_id"],
-            items.schema["asin"],
+            query_id,
+            item_id,
             T.StructField("score", T.DoubleType()),
             T.StructField("rank", T.IntegerType()),
+            T.StructField("list", T.IntegerType()),
         ]
     )
-    # The two sides may stem from one table, so no column keeps a common name.
-    left_keys, right_keys = [f"q{key}" for key in keys], [f"i{key}" for key in keys]
+    keys = ["cell", "block", "strip"]
+    def none(table: DataFrame, column: str) -> Column:
+        return F.lit(None).cast(table.schema[column].dataType)
+
     left = queries.select(
-        "query_id", F.col("embedding").alias("query_vector"), "depth", *[F.col(a).alias(b) for a, b in zip(keys, left_keys)]
-    )
+        *keys, F.lit(0).alias("side"), "query_id", none(items, "asin").alias("asin"), F.col("embedding").alias("query_vector"),
+        none(items, "embedding").alias("item_vector"), "depth",
+    )
     right = items.select(
-        "asin", F.col("embedding").alias("item_vector"), *[F.col(a).alias(b) for a, b in zip(keys, right_keys)]
-    )
-    if n_tasks > 1:
-        left, right = left.repartition(n_tasks, *left_keys), right.repartition(n_tasks, *right_keys)
-    return left.groupBy(*left_keys).cogroup(right.groupBy(*right_keys)).applyInArrow(_search_kernel(digits), schema)
+        *keys, F.lit(1).alias("side"), none(queries, "query_id").alias("query_id"), "asin", none(queries, "embedding").alias("query_vector"),
+        F.col("embedding").alias("item_vector"), F.lit(0).alias("depth"),
+    )
+    rows = left.unionByName(right)
+    dealt = rows.repartition(max(1, min(n_tasks, TASKS)), *keys).sortWithinPartitions(*keys, "side", "asin")
+    return dealt.mapInArrow(_search_kernel(digits), schema)
 
 
-def _merged(candidates: DataFrame, k: int) -> DataFrame:
-    return top_per_group(candidates.drop("rank"), ["query_id"], best_first(), k)
+def merge_lists(lists: DataFrame, k: int, most: int) -> DataFrame:
+    """`(query_id, asin, score, rank)`: the k best of all lists of a query, of which there are at most `most`.
+
+    While a query may have more than FAN_IN lists, groups of them are merged first; each group leaves one list.
+    """
+    while most > FAN_IN:
+        most = -(-most // FAN_IN)
+        lists = lists.drop("rank").withColumn("list", F.pmod("list", F.lit(most)))
+        lists = top_per_group(lists, ["query_id", "list"], best_first(), k)
+    return top_per_group(lists.drop("rank", "list"), ["query_id"], best_first(), k)
 
 
 def _exact_candidates(
-    queries: DataFrame, items: DataFrame, n_queries: int | None, n_items: int | None, digits: int
-) -> tuple[DataFrame, bool]:
-    """Rows per query and item block for `queries(query_id, embedding, depth)`; whether lists are complete."""
+    queries: DataFrame, items: DataFrame, n_queries: int | None, n_items: int | None, digits: int, k: int
+) -> tuple[DataFrame, int]:
+    """Rows per query and strip for `queries(query_id, embedding, depth)`, and the number of strips; no depth is above k."""
     n_items = items.count() if n_items is None else n_items
     n_queries = queries.count() if n_queries is None else n_queries
-    item_blocks = query_blocks = 1
+    strips = query_blocks = 1
     if n_items and n_queries:
         cores = queries.sparkSession.sparkContext.defaultParallelism
-        item_blocks, query_blocks = _block_counts(n_items, n_queries, vector_dim(items), 4 * cores)
+        strips, query_blocks = _block_counts(n_items, n_queries, vector_dim(items), 4 * cores, k)
     scored = _score_blocks(
-        _in_blocks(queries, "query_id", "_query_block", query_blocks, "_item_block", item_blocks),
-        _in_blocks(items, "asin", "_item_block", item_blocks, "_query_block", query_blocks),
-        ["_item_block", "_query_block"],
-        min(item_blocks * query_blocks, MAX_CELLS),
+        _in_blocks(queries, "query_id", "block", query_blocks, "strip", strips).withColumn("cell", F.lit(0)),
+        _in_blocks(items, "asin", "strip", strips, "block", query_blocks).withColumn("cell", F.lit(0)),
+        strips * query_blocks,
         digits,
     )
-    return scored, item_blocks == 1
+    return scored, strips
 
 
 def exact_topk(
@@ -158,8 +236,8 @@ def exact_topk(
     The sizes are counted unless the caller knows them.
     """
     asked = queries.withColumn("depth", F.lit(k))
-    candidates, complete = _exact_candidates(asked, items, n_queries, n_items, digits)
-    return candidates if complete else _merged(candidates, k)
+    candidates, strips = _exact_candidates(asked, items, n_queries, n_items, digits, k)
+    return candidates.drop("list") if strips == 1 else merge_lists(candidates, k, strips)
 
 
 def _in_blocks(df: DataFrame, id_column: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
@@ -171,8 +249,8 @@ def _in_blocks(df: DataFrame, id_column: str, own: str, own_n: int, other: str,
 
 def cell_candidates(
     queries: DataFrame, items: DataFrame, k: int = 100, *, digits: int = SCORE_DIGITS
-) -> DataFrame:
-    """The k best items per query and block of the cells that the query probes.
+) -> tuple[DataFrame, int, int]:
+    """The k best items per query and strip of the cells that it probes, the most strips of a cell, and the number of cells.
 
     `queries(query_id, embedding, cell)` has one row per probed cell, `items(asin, embedding, cell)`
     one row per item. The caller merges the rows of a query.
@@ -185,39 +263,38 @@ def cell_candidates(
         .collect()
     )
     if len(counts) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells; use fewer, larger cells: big cells are split into blocks")
+        raise ValueError(f"more than {MAX_CELLS} cells; use fewer, larger cells: big cells are split into strips")
     cores = spark.sparkContext.defaultParallelism
-    dim = vector_dim(items)
+    dim = vector_dim(items) if counts else 1
     tasks_per_cell = max(1, 4 * cores // max(1, len(counts)))
-    plan_rows, n_tasks = [], 0
+    plan_rows, n_tasks, most = [], 0, 1
     for row in counts:
-        item_blocks, query_blocks = _block_counts(row["n_items"], row["n_queries"], dim, tasks_per_cell)
-        plan_rows.append((row["cell"], item_blocks, query_blocks))
-        n_tasks += item_blocks * query_blocks
+        strips, query_blocks = _block_counts(row["n_items"], row["n_queries"], dim, tasks_per_cell, k)
+        plan_rows.append((row["cell"], strips, query_blocks))
+        n_tasks, most = n_tasks + strips * query_blocks, max(most, strips)
     # One row per cell, at most MAX_CELLS: safe to broadcast.
-    plan = F.broadcast(spark.createDataFrame(plan_rows, "cell int, n_item_blocks int, n_query_blocks int"))
-    cell_items = (
-        items.filter(F.col("cell").isin([row[0] for row in plan_rows])) if len(plan_rows) <= 1000 else items
-    )
+    plan = F.broadcast(spark.createDataFrame(plan_rows, "cell int, strips int, blocks int"))
     placed_items = (
-        cell_items.join(plan, "cell")
-        .withColumn("_item_block", F.pmod(F.xxhash64("asin"), F.col("n_item_blocks")).cast("int"))
-        .withColumn("_query_block", F.explode(F.sequence(F.lit(0), F.col("n_query_blocks") - 1)))
-        .withColumnRenamed("cell", "_cell")
+        items.join(plan, "cell")
+        .withColumn("strip", F.pmod(F.xxhash64("asin"), F.col("strips")).cast("int"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
     placed_queries = (
         queries.withColumn("depth", F.lit(k))
         .join(plan, "cell")
-        .withColumn("_query_block", F.pmod(F.xxhash64("query_id"), F.col("n_query_blocks")).cast("int"))
-        .withColumn("_item_block", F.explode(F.sequence(F.lit(0), F.col("n_item_blocks") - 1)))
-        .withColumnRenamed("cell", "_cell")
+        .withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+        .withColumn("strip", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)))
     )
-    keys = ["_cell", "_item_block", "_query_block"]
-    return _score_blocks(placed_queries, placed_items, keys, min(n_tasks, MAX_CELLS), digits)
+    scored = _score_blocks(placed_queries, placed_items, n_tasks, digits)
+    return scored, most, len(plan_rows)
 
 
-def topk_in_cells(queries: DataFrame, items: DataFrame, k: int = 100, *, digits: int = SCORE_DIGITS) -> DataFrame:
-    return _merged(cell_candidates(queries, items, k, digits=digits), k)
+def topk_in_cells(
+    queries: DataFrame, items: DataFrame, k: int = 100, *, digits: int = SCORE_DIGITS, probes: int = MAX_CELLS
+) -> DataFrame:
+    """The k best items of the probed cells; no query probes more than `probes`."""
+    candidates, most, n_cells = cell_candidates(queries, items, k, digits=digits)
+    return merge_lists(candidates, k, most * min(probes, n_cells))
 
 
 def sharded_topk(queries: DataFrame, items: DataFrame, k: int = 100, *, shard: str, n_shards: int = 16) -> DataFrame:
@@ -230,6 +307,7 @@ def sharded_topk(queries: DataFrame, items: DataFrame, k: int = 100, *, shard: s
         queries.withColumn("cell", F.explode(shards)),
         items.withColumn("cell", F.pmod(F.xxhash64(shard), F.lit(n_shards)).cast("int")),
         k,
+        probes=n_shards,
     )
 
 
@@ -262,18 +340,43 @@ def search(
     """Candidates per query, then the exclusion.
 
     Without `ranked` the column `rank` is left out, for callers that rank anew. By default the ids in `excluded(query_id, asin)` are dropped after the cut at k, so fewer than
-    k may remain. With `exclude_first` every query fetches k rows plus one per excluded id of its
-    own, so k allowed items remain whenever they exist.
+    k may remain. With `exclude_first` k allowed items remain whenever they exist; see `excluded_first`.
     """
     if excluded is None:
         found = exact_topk(queries, items, k, n_queries=n_queries, n_items=n_items)
         return found if ranked else found.drop("rank")
-    keys = ["query_id", "asin"]
     if exclude_first:
-        own = excluded.select(*keys).distinct().groupBy("query_id").agg(F.count("*").cast("int").alias("_excluded"))
-        asked = queries.join(own, "query_id", "left").withColumn("depth", F.lit(k) + F.coalesce("_excluded", F.lit(0)))
-        candidates, _ = _exact_candidates(asked, items, n_queries, n_items, SCORE_DIGITS)
-    else:
-        candidates = exact_topk(queries, items, k, n_queries=n_queries, n_items=n_items)
-    kept = exclude_items(candidates, excluded, keys).drop("rank")
-    return top_per_group(kept, ["query_id"], best_first(), k) if ranked or exclude_first else kept
+        counted = items.count() if n_items is None else n_items
+        return excluded_first(lambda asked, depth: exact_topk(asked, items, depth, n_items=counted), queries, excluded, k)
+    keys = ["query_id", "asin"]
+    kept = exclude_items(exact_topk(queries, items, k, n_queries=n_queries, n_items=n_items), excluded, keys).drop("rank")
+    return top_per_group(kept, ["query_id"], best_first(), k) if ranked else kept
+
+
+def excluded_first(
+    find: Callable[[DataFrame, int], DataFrame], queries: DataFrame, excluded: DataFrame, k: int
+) -> DataFrame:
+    """The k best rows of every query that `excluded(query_id, asin)` allows; `find(queries, depth)` searches.
+
+    Lists are twice as deep as k at first. Only queries that are still short of k, and whose list was full, are searched again, four times
+    as deep; so the many exclusions of one query cost the others nothing.
+    """
+    keys = ["query_id", "asin"]
+    ids = checkpointed(excluded.select(*keys).distinct())
+    asked, depth, done = checkpointed(queries), 2 * k, []
+    while True:
+        found = checkpointed(find(asked, depth).select("query_id", "asin", "score"))
+        kept = checkpointed(exclude_items(found, ids, keys))
+        done.append(kept)
+        full = found.groupBy("query_id").agg(F.count("*").alias("found")).filter(F.col("found") >= depth).select("query_id")
+        enough = kept.groupBy("query_id").agg(F.count("*").alias("kept")).filter(F.col("kept") >= k).select("query_id")
+        short = checkpointed(full.join(enough, "query_id", "left_anti"))
+        if short.isEmpty():
+            break
+        # What a deeper list finds for these queries takes the place of what there is.
+        done[-1] = kept.join(short, "query_id", "left_anti")
+        asked, depth = checkpointed(asked.join(short, "query_id", "left_semi")), depth * 4
+    rows = done[0]
+    for more in done[1:]:
+        rows = rows.unionByName(more)
+    return top_per_group(rows, ["query_id"], best_first(), k)

@@ -18,7 +18,7 @@ from recspark.operators.profiles import blend_query_vectors, profile_vectors
 from recspark.operators.ranking import best_first, exclude_items, keep_items, top_per_group
 from recspark.operators.compare import pooled_candidates
 from recspark.operators.rerank import PROMPT_CANDIDATES, ask_model, merge_replies, missing_replies, reply_keys, rerank_prompts
-from recspark.operators.search import exact_topk, search
+from recspark.operators.search import exact_topk, excluded_first, search
 from recspark.session import checkpointed
 
 HISTORY_ITEMS = 20
@@ -28,29 +28,34 @@ TOP = 10
 # Prefixes of the extra phrasings of a query.
 PHRASINGS = ["", "sustainable ", "high-quality "]
 
-# (queries, excluded ids or None, number of queries if known) -> (query_id, asin, score)
-Retrieval = Callable[[DataFrame, DataFrame | None, int | None], DataFrame]
+# (queries, excluded ids or None, number of queries if known, whether to exclude before the cut) -> (query_id, asin, score)
+Retrieval = Callable[..., DataFrame]
 
 
 def retrieve_exact(
     vectors: DataFrame, k: int = RETRIEVAL, *, exclude_first: bool = False, n_items: int | None = None
 ) -> Retrieval:
-    """Retrieval by exact search; the exclusion comes after the cut unless `exclude_first`."""
+    """Retrieval by exact search; the exclusion comes after the cut unless `exclude_first`, here or at the call."""
 
-    def run(queries: DataFrame, excluded: DataFrame | None = None, n_queries: int | None = None) -> DataFrame:
+    def run(queries: DataFrame, excluded: DataFrame | None = None, n_queries: int | None = None, first: bool = False) -> DataFrame:
         return search(
-            queries, vectors, k, excluded=excluded, exclude_first=exclude_first,
+            queries, vectors, k, excluded=excluded, exclude_first=exclude_first or first,
             n_queries=n_queries, n_items=n_items, ranked=False,
-        )
+        ).drop("rank")
 
     return run
 
 
-def retrieve_cells(cells: DataFrame, centroids: DataFrame, k: int = RETRIEVAL, *, n_probe: int = 8) -> Retrieval:
-    """Retrieval by probing vector cells."""
+def retrieve_cells(
+    cells: DataFrame, centroids: DataFrame, k: int = RETRIEVAL, *, n_probe: int = 8, exclude_first: bool = False
+) -> Retrieval:
+    """Retrieval by probing vector cells; the exclusion comes after the cut unless `exclude_first`, here or at the call."""
 
-    def run(queries: DataFrame, excluded: DataFrame | None = None, n_queries: int | None = None) -> DataFrame:
-        found = ivf_topk(checkpointed(queries), cells, centroids, k, n_probe=n_probe).drop("rank")
+    def run(queries: DataFrame, excluded: DataFrame | None = None, n_queries: int | None = None, first: bool = False) -> DataFrame:
+        asked = checkpointed(queries)
+        if excluded is not None and (exclude_first or first):
+            return excluded_first(lambda q, depth: ivf_topk(q, cells, centroids, depth, n_probe=n_probe), asked, excluded, k).drop("rank")
+        found = ivf_topk(asked, cells, centroids, k, n_probe=n_probe).drop("rank")
         return found if excluded is None else exclude_items(found, excluded, ["query_id", "asin"])
 
     return run
@@ -123,7 +128,9 @@ def recommend_history(
     if exclude_all_purchases:
         excluded = reviews.select(F.col("reviewerID").alias("query_id"), "asin")
     n_users = owned.select("query_id").distinct().count()
-    shown = present(retrieval(queries, excluded, n_users), products, k, all_known=all_known)
+    # All purchases of a user may be more than the retrieved rows.
+    found = retrieval(queries, excluded, n_users, first=True) if exclude_all_purchases else retrieval(queries, excluded, n_users)
+    shown = present(found, products, k, all_known=all_known)
     if fallback is None:
         return shown
     users = reviews.select(F.col("reviewerID").alias("query_id")).filter(F.col("query_id").isNotNull())

@@ -49,6 +49,42 @@ def test_exact_search_in_one_block_and_in_many(spark, monkeypatch):
     assert collected(search.exact_topk(q, i, 7)) == expected
 
 
+def test_lists_do_not_grow_with_the_strips(spark, monkeypatch):
+    queries, items = random_vectors(9, seed=11, prefix="q"), random_vectors(3000, seed=12)
+    q, i = frames(spark, queries, items)
+    expected = brute(queries, items, 6)
+    merged, last = [], search.top_per_group
+
+    def counting(df, keys, order, k, rank="rank"):
+        if keys == ["query_id"]:
+            merged.append(df.count() / len(queries))
+        return last(df, keys, order, k, rank)
+
+    monkeypatch.setattr(search, "top_per_group", counting)
+    for strips in (1, 64, 600):
+        monkeypatch.setattr(search, "_block_counts", lambda *_, n=strips: (n, 2))
+        assert collected(search.exact_topk(q, i, 6)) == expected
+    # One strip needs no merge; the last merge of many reads FAN_IN lists at most.
+    assert len(merged) == 2 and max(merged) <= search.FAN_IN * 6
+
+
+def test_running_lists_forget_ids_and_keep_ties():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-2, 3, (5, 3)).astype(float)
+    items = rng.integers(-2, 3, (4000, 3)).astype(float)
+    ids = [f"{i:05}" for i in range(4000)]
+    lists = search._RunningLists(pa.array(["a", "b", "c", "d", "e"]), vectors, np.array([7, 0, 1, 4000, 50]), 6)
+    for start in range(0, 4000, 130):
+        lists.add(pa.array(ids[start : start + 130]), items[start : start + 130])
+        lists._forget()
+    got = lists.table((0, 0, 3)).to_pydict()
+    for q, depth in zip(range(5), (7, 0, 1, 4000, 50)):
+        best = sorted(range(4000), key=lambda i: (-(items[i] @ vectors[q]), i))[:depth]
+        assert [a for a, name in zip(got["asin"], got["query_id"]) if name == "abcde"[q]] == [ids[i] for i in best]
+
+
 def test_equal_scores_go_by_id(spark):
     items = [(f"p{i}", [1.0, 0.0]) for i in (3, 1, 2, 0)] + [("z", [0.0, 0.0])]
     q, i = frames(spark, [("q", [1.0, 0.0]), ("zero", [0.0, 0.0])], items)
@@ -120,9 +156,11 @@ def test_index_choice():
 
 
 def test_block_counts_stay_bounded():
-    items, queries = search._block_counts(10**9, 10**6, 64, 4000)
-    assert 10**9 / items <= search.BLOCK_BYTES / 256 and 10**6 / queries <= search.BLOCK_BYTES / 256
-    assert search._block_counts(10, 10, 64, 32) == (1, 1)
+    # Items are streamed; what a task holds are its queries and their lists.
+    strips, blocks = search._block_counts(10**9, 10**6, 64, 4000)
+    assert 10**6 / blocks * 512 <= search.BLOCK_BYTES and 10**6 / blocks * 100 <= search.LIST_ROWS and strips * blocks >= 4000
+    strips, blocks = search._block_counts(10**9, 100, 64, 4000)
+    assert strips >= 2000 and search._block_counts(10, 10, 64, 32) == (1, 1)
 
 
 def test_large_k_is_cut_in_salted_parts_first(spark):
