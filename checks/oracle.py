@@ -574,6 +574,7 @@ ORACLES["recommend_cold_start"] = sql("""
 
 # Re-ranking
 
+# The wording of the prompt.
 PROMPT = """concat('You are an expert product recommendation assistant for an e-commerce platform.
 
 User''s Purchase History:
@@ -616,7 +617,7 @@ Output your recommendations in the following JSON format:
 
 Be specific and reference the user''s past purchases when relevant. Make the explanations engaging and personalized.
 ')"""
-ORACLES["rerank_prompt"] = sql(
+ORACLES["rerank_prompt_compact"] = sql(
     f"SELECT query_id, {PROMPT} AS prompt FROM listed JOIN summaries USING (query_id) JOIN asks USING (query_id)",
     feed_lines=lines("feed_history", "- ", "Unknown").replace("products p", "meta p"),
     summaries="""
@@ -639,6 +640,8 @@ ORACLES["rerank_prompt"] = sql(
               FROM candidates JOIN meta USING (asin))
         WHERE rank <= 100 GROUP BY query_id""")
 
+ORACLES["rerank_prompt"] = ORACLES["rerank_prompt_compact"].replace("left(description, 200)", "description")
+
 REPLIED = """
     SELECT query_id, i AS position, asin,
       CASE WHEN i % 4 = 0 THEN 'No explanation provided.' ELSE concat('choice ', i, ' of ', query_id) END AS explanation
@@ -813,3 +816,4 @@ ORACLES["batch_recommendations"] = sql(
     parsed_left=without("parsed_found", "parsed_owned"),
     listed=presented("parsed_left", "shelf"),
     fallback="SELECT *, row_number() OVER (ORDER BY num_reviews DESC, asin) AS rank FROM shelf QUALIFY rank <= 10")
+ORACLES["batch_recommendations_again"] = ORACLES["batch_recommendations"]

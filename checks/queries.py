@@ -521,15 +521,26 @@ def candidate_rows(spark, sf_dir) -> DataFrame:
     return checkpointed(search.search(profile_vectors(owned, vectors, user="query_id"), vectors, 100, excluded=owned))
 
 
-@query
-def rerank_prompt(spark, sf_dir):
+def prompts_of(spark, sf_dir, **options) -> DataFrame:
     items = feed_products(spark, sf_dir, described=True)
     candidates = candidate_rows(spark, sf_dir).join(items.select("asin", "title", "category", "description"), "asin")
     rows = checkpointed(history.user_history(fx.feed(spark, sf_dir), items.drop("description"), 20))
     summaries = history.history_summary(rows).withColumnRenamed("reviewerID", "query_id")
     texts = history.rich_query_text(rows).select(F.col("reviewerID").alias("query_id"), F.col("query_text").alias("query"))
     asks = with_search_criteria(texts, has_history=F.lit(True), sustainability_mode=True)
-    return rerank.rerank_prompts(candidates, summaries, asks, sustainability_mode=True)
+    return rerank.rerank_prompts(candidates, summaries, asks, sustainability_mode=True, **options)
+
+
+@query
+def rerank_prompt(spark, sf_dir):
+    """With whole descriptions; ten candidates each."""
+    return prompts_of(spark, sf_dir, most=10)
+
+
+@query
+def rerank_prompt_compact(spark, sf_dir):
+    """With the fixed number of characters of each description."""
+    return prompts_of(spark, sf_dir, description_limit=rerank.PROMPT_DESCRIPTION)
 
 
 REPLIED_RANKS = [5, 3, 3, 1, 0, -1, 7, 9, 11, 13, 2, 4]  # 0: an unknown product, -1: product "0" of the catalogue
@@ -590,8 +601,9 @@ def recommend_reranked(spark, sf_dir):
 
     vectors = fx.vectors(spark, sf_dir)
     inputs = fx.feed(spark, sf_dir), feed_products(spark, sf_dir, described=True), recommend.retrieve_exact(vectors), vectors
-    options = {"sustainability_mode": True, "description_limit": rerank.PROMPT_DESCRIPTION}
-    _, fresh = recommend.recommend_reranked(*inputs, generate=naming([3, 1], "model one"), **options)
+    options = {"sustainability_mode": True}
+    folder = work_path(spark, "replies")
+    _, fresh = recommend.recommend_reranked(*inputs, generate=naming([3, 1], "model one"), reply_folder=folder, **options)
     stored = checkpointed(fresh.filter(F.substring_index("reply_key", ":", 1).cast("bigint") % 2 == 0))
     final, _ = recommend.recommend_reranked(*inputs, stored, naming([2], "model two"), **options)
     return final.select("query_id", "rank", "asin", "title", "score", "explanation", "sustainability_score", "short_reason")
@@ -742,11 +754,15 @@ def stream_delta_index(spark, sf_dir):
     return delta_vectors.delta_vectors(spark, target).select("asin", shown().alias("embedding"), "version")
 
 
-def whole_batch(spark, sf_dir):
+def whole_batch(spark, sf_dir, runs=1, **options):
     folder = work_path(spark, "raw")
     fx.raw_reviews(spark, sf_dir).write.text(f"{folder}/reviews.jsonl")
     fx.raw_metadata(spark, sf_dir).write.text(f"{folder}/metadata.jsonl")
-    return run_batch(spark, folder, f"{folder}/catalogue.parquet")
+    if runs > 1:
+        options["store_path"] = f"{folder}/store"
+    for _ in range(runs):
+        batch = run_batch(spark, folder, f"{folder}/catalogue.parquet", **options)
+    return batch
 
 
 @query
@@ -758,3 +774,9 @@ def end_to_end_batch(spark, sf_dir):
 def batch_recommendations(spark, sf_dir):
     """From raw files to the recommendations of every user."""
     return whole_batch(spark, sf_dir).recommendations.select(*RESULT)
+
+
+@query
+def batch_recommendations_again(spark, sf_dir):
+    """The second run of the batch, from the catalogue, the vectors, the factors and the neighbours that the first one stored."""
+    return whole_batch(spark, sf_dir, runs=2).recommendations.select(*RESULT)

@@ -11,6 +11,7 @@ from recspark.functions.numbers import fixed
 from recspark.functions.rules import with_eco_score, with_search_criteria
 from recspark.functions.vectors import as_doubles
 from recspark.operators.cells import ivf_topk
+from recspark.operators.durable import ask_durably
 from recspark.operators.embed import embed_texts
 from recspark.operators.history import history_summary, recent_best, rich_query_text, with_products
 from recspark.operators.popularity import display_columns, popular_fallback
@@ -150,12 +151,14 @@ def recommend_reranked(
     most: int = PROMPT_CANDIDATES,
     description_limit: int | None = None,
     sustainability_mode: bool = False,
+    reply_folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Retrieved candidates of every user, put in the order that a model replies; and the new replies, to be stored.
 
     `stored(reply_key, reply)` answers where it can, `generate` (prompts to replies) the other users, and whoever has no
     usable reply keeps the order of retrieval. With `sustainability_mode` the model is told so and every result carries its
-    product's rule score. The new replies are `(reply_key, reply)`, null without `generate`.
+    product's rule score. With `reply_folder` each reply is written as it comes, and none of those is asked for twice, also if
+    an executor is lost on the way. The new replies are `(reply_key, reply)`, null without `generate`.
     """
     columns = ["reviewerID", "asin", "rating", "unixReviewTime", "review_id"]
     recent = checkpointed(recent_best(reviews.select(*columns), history_k))
@@ -182,7 +185,8 @@ def recommend_reranked(
             described, keep_items(summaries, missing, ["query_id"]), asks,
             sustainability_mode=sustainability_mode, most=most, description_limit=description_limit,
         )
-        asked = checkpointed(ask_model(prompts, generate))
+        asked = ask_model(prompts, generate) if reply_folder is None else ask_durably(prompts, generate, reply_folder)
+        asked = checkpointed(asked)
         fresh = missing.join(asked, "query_id").select("reply_key", "reply")
         replies = replies.unionByName(asked)
     final = merge_replies(candidates, checkpointed(replies), products, k)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recspark.functions.numbers import rounded
-from recspark.sources.files import path_exists
+from recspark.sources.versions import VersionedTable
 
 
 def windowed_stats(reviews: DataFrame, *, window: str = "1 day", delay: str = "2 days") -> DataFrame:
@@ -41,16 +41,21 @@ def run_stats_stream(
     checkpoint: str,
     *,
     max_files: int | None = None,
+    most: int = 32,
     **windows,
 ) -> None:
     """Process what is in the Parquet folder `source` and stop; a later call goes on from there.
 
-    Each micro-batch writes the present totals of the windows it changed, open ones too, to a folder of its own, which a
-    repeated run of the batch overwrites.
+    Each micro-batch adds the present totals of the windows it changed, open ones too, to a versioned table; a batch that is run
+    again adds nothing. From `most` batches on the table is cut to the totals written last.
     """
+    table = VersionedTable(spark, target)
 
     def write(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        rows = changed.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        state = table.append(rows, str(batch_id), most=1 << 30)
+        if len(state.folders) >= most:
+            table.replace(latest_totals(table.read(state)), old=state)
 
     reader = spark.readStream.schema(schema)
     if max_files is not None:
@@ -66,18 +71,18 @@ def run_stats_stream(
     query.awaitTermination()
 
 
+def latest_totals(written: DataFrame) -> DataFrame:
+    """Of each window and product the totals that the last batch wrote."""
+    last = written.groupBy("window_start", "asin").agg(F.max_by(F.struct("rating_sum", "num_reviews", "batch"), "batch").alias("t"))
+    return last.select("window_start", "asin", "t.*")
+
+
 def current_stats(spark: SparkSession, target: str) -> DataFrame:
     """`(asin, avg_rating, num_reviews)` over all windows, open or closed; of a window the totals written last count."""
+    table = VersionedTable(spark, target)
     columns = "window_start timestamp, asin string, rating_sum double, num_reviews bigint, batch bigint"
-    if not path_exists(spark, target):
-        written = spark.createDataFrame([], columns)
-    else:
-        written = spark.read.schema(columns).parquet(target)
-    latest = written.groupBy("window_start", "asin").agg(
-        F.max_by(F.struct("rating_sum", "num_reviews"), "batch").alias("totals")
-    )
-    windows = latest.select("asin", "totals.*")
-    return windows.groupBy("asin").agg(
+    written = table.read() if table.exists() else spark.createDataFrame([], columns)
+    return latest_totals(written).groupBy("asin").agg(
         rounded(F.sum("rating_sum") / F.sum("num_reviews")).alias("avg_rating"),
         F.sum("num_reviews").alias("num_reviews"),
     )

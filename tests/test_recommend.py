@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from recspark.operators import compare, evaluate, filtering, history, popularity, rerank
+from recspark.operators import compare, durable, evaluate, filtering, history, popularity, rerank
 from recspark.plans import recommend
 
 REVIEWS = "reviewerID string, asin string, rating double, unixReviewTime bigint, review_id string"
@@ -121,7 +121,9 @@ def test_prompts_model_calls_and_reply_keys(spark):
     )
     summaries = spark.createDataFrame([("q", "S")], "query_id string, summary string")
     asks = spark.createDataFrame([("q", "red", ["c1", "c2"])], "query_id string, query string, criteria array<string>")
-    prompts = rerank.rerank_prompts(candidates, summaries, asks)
+    whole = rerank.rerank_prompts(candidates, summaries, asks).first()["prompt"]
+    assert "\n2. ASIN: b\n   Title: B\n   Category: N/A\n   Description: " + "x" * 300 + "\n" in whole
+    prompts = rerank.rerank_prompts(candidates, summaries, asks, description_limit=rerank.PROMPT_DESCRIPTION)
     text = prompts.first()["prompt"]
     assert "User's Purchase History:\nS\n\nUser Query: red\n\n\nPrecise" in text and "- c1\n- c2\n" in text
     assert "\n1. ASIN: a\n   Title: A\n   Category: cat\n   Description: \n   Retrieval Score: 0.7500\n" in text
@@ -135,6 +137,35 @@ def test_prompts_model_calls_and_reply_keys(spark):
     assert rerank.missing_replies(candidates, asks.withColumn("query", F.lit("blue")), stored).count() == 1
 
 
+def test_replies_outlive_a_task_that_fails(spark, tmp_path):
+    """A model that is lost after 5 calls: the second run asks only for what had no reply yet."""
+    log, folder = f"{tmp_path}/asked", f"file:{tmp_path}/replies"
+    open(log, "w").close()
+    prompts = spark.createDataFrame([(f"q{i}", f"prompt {i // 2}") for i in range(60)] + [("none", None)], "query_id string, prompt string").coalesce(1)
+
+    def model(limit):
+        def generate(asked):
+            with open(log, "a") as file:
+                file.write("".join(f"{p}\n" for p in asked))
+            if len(open(log).readlines()) > limit:
+                raise RuntimeError("the model is gone")
+            return [f"reply to {p}" for p in asked]
+
+        return generate
+
+    with pytest.raises(Exception, match="the model is gone"):
+        durable.ask_durably(prompts, model(5), folder, at_once=1).collect()
+    assert durable.stored_replies(spark, folder).count() >= 1
+    got = {r["query_id"]: r["reply"] for r in durable.ask_durably(prompts, model(10**6), folder, at_once=3).collect()}
+    assert got == {f"q{i}": f"reply to prompt {i // 2}" for i in range(60)} | {"none": "reply to "}
+    asked = open(log).read().split("\n")[:-1]
+    lost = {p for p in asked if asked.count(p) > 1}
+    assert set(asked) == {f"prompt {i}" for i in range(30)} | {""} and all(asked.count(p) <= 2 for p in asked) and len(lost) <= spark.sparkContext.defaultParallelism
+    durable.ask_durably(prompts, model(0), folder).collect()
+    assert durable.stored_replies(spark, folder).count() == 31
+    assert durable.stored_replies(spark, f"{folder}/nowhere").count() == 0
+
+
 def ratings(spark, seed=0, users=60, items=24):
     rng = np.random.default_rng(seed)
     dense = np.where(rng.random((users, items)) < 0.4, rng.integers(1, 6, (users, items)), 0).astype(float)

@@ -1,4 +1,5 @@
 from recspark.operators.search import exact_topk, newest_vectors
+from recspark.sources.versions import VersionedTable
 from recspark.session import checkpointed, shared_dir, spread, work_path
 from recspark.streaming.delta_vectors import delta_vectors, run_delta_stream
 from recspark.streaming.product_stats import current_stats, run_stats_stream
@@ -27,6 +28,19 @@ def test_statistics_stream_drops_repeats_and_late_rows(spark):
     assert current_stats(spark, work_path(spark, "none")).count() == 0
 
 
+def test_batches_are_compacted(spark):
+    """Many micro-batches, one file each: the tables hold few folders, and the numbers are those of all batches."""
+    source, target, state = (work_path(spark, n) for n in ("in", "out", "state"))
+    for n in range(7):
+        spark.createDataFrame([(str(n), "a", float(n), 10 + n), (f"x{n}", f"p{n}", 1.0, 20)], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    run_stats_stream(spark, source, SCHEMA, target, state, max_files=1, most=3)
+    table = VersionedTable(spark, target)
+    assert len(table.state().folders) < 3 and len(table.state().batches) >= 7
+    got = {r["asin"]: (r["avg_rating"], r["num_reviews"]) for r in current_stats(spark, target).collect()}
+    assert got == {"a": (3.0, 7)} | {f"p{n}": (1.0, 1) for n in range(7)}
+    assert table.vacuum() > 0 and current_stats(spark, target).count() == 8
+
+
 def test_delta_stream_serves_the_newest_vectors(spark):
     source, target, state = (work_path(spark, n) for n in ("in", "delta", "state"))
     schema = "asin string, text_for_embedding string"
