@@ -56,7 +56,7 @@ def orders(matrix: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
 
 def search_block(
     ids: np.ndarray, matrix: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray,
-    length: int, k: int, share: float, least: int,
+    length: int, k: int, share: float,
 ) -> pd.DataFrame:
     """The best k of a block for every query."""
     order = orders(matrix, pivots, length)
@@ -66,7 +66,7 @@ def search_block(
     by_pivot = np.argsort(flat, kind="stable")
     posted, rank = by_pivot // length, by_pivot % length
     ends = np.searchsorted(flat[by_pivot], np.arange(len(pivots) + 1))
-    wanted = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
+    wanted = min(len(ids), max(k + 1, int(np.ceil(share * len(ids)))))
     out = []
     for query, vector, own in zip(query_ids, queries, orders(queries, pivots, length)):
         gain = np.zeros(len(ids), dtype=np.int32)
@@ -86,7 +86,7 @@ def search_block(
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 256, length: int = 48, share: float = 0.3, least: int = 1000
+    vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 256, length: int = 48, share: float = 0.3
 ) -> DataFrame:
     """query_id, rank, vec_id, score. `vectors` and `queries` come from `usable`; a query's own row is no candidate."""
     sizes = vectors.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows"))
@@ -108,7 +108,7 @@ def search(
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         return search_block(
             items["vec_id"].to_numpy(), _matrix(items["embedding"]), asked["vec_id"].to_numpy(), _matrix(asked["embedding"]),
-            chosen, length, k, share, least,
+            chosen, length, k, share,
         )
 
     left = dealt(vectors, "block", blocks, "part", groups).groupBy("block", "part")

@@ -3,8 +3,9 @@
 For every participant of a conversation, the dialogue is rendered with that speaker as the assistant, all others as named
 users, and system turns as they are. Masks are the character spans that the assistant of that rendering says.
 
-A conversation comes in parts of at most `part_turns` turns, numbered in order, so that no group grows with a conversation;
-the spans count from the start of their part.
+A conversation comes in parts of `part_turns` turns (the last one: what is left), whatever numbers its turns have, so that no group
+grows with a conversation; the spans count from the start of their part. Turns are counted over a range partition of all
+conversations, so one with most of all turns is no larger a task than others.
 
 Defined results: turns are ordered by number (null first), speaker and text; a null role is the speaker `unknown`, a null
 text an empty one; repeated rows are separate turns; a conversation of system turns only has no participant and gives no row; a
@@ -14,9 +15,11 @@ and `text` are not looked at. Texts are rendered whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recspark.llm.common import numbered
+
 SYSTEM = "system"
 UNKNOWN = "unknown"
 HEAD = "<|{}|>\n"
@@ -25,14 +28,15 @@ END = "<|end|>\n"
 
 def perspectives(conversations: DataFrame, part_turns: int = 1024) -> DataFrame:
     """conv_id, speaker, part, n_turns, text, spans (array of start, stop), masked (number of characters in spans)."""
-    turns = conversations.select(
+    rows = conversations.select(
+        F.coalesce(F.concat(F.lit("1"), F.col("conv_id").cast("string")), F.lit("0")).alias("tree"),
         "conv_id",
         F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
         F.coalesce("role", F.lit(UNKNOWN)).alias("role"),
         F.coalesce("text", F.lit("")).alias("said"),
-    ).withColumn("slice", F.floor(F.col("turn") / part_turns))
-    nth = F.row_number().over(Window.partitionBy("conv_id", "slice").orderBy("turn", "role", "said"))
-    turns = turns.withColumn("nth", nth).withColumn("piece", F.floor((F.col("nth") - 1) / part_turns))
+        F.monotonically_increasing_id().alias("row"),  # deals out rows that are equal in all else
+    )
+    turns = numbered(rows, ["turn", "role", "said", "row"]).withColumn("part", F.floor(F.col("place") / part_turns).cast("int"))
     speakers = turns.filter(F.col("role") != SYSTEM).select(F.col("conv_id").alias("__conv"), F.col("role").alias("speaker")).distinct()
     rotated = turns.join(speakers, F.col("conv_id").eqNullSafe(F.col("__conv")))
     mine = F.col("role") == F.col("speaker")
@@ -42,8 +46,8 @@ def perspectives(conversations: DataFrame, part_turns: int = 1024) -> DataFrame:
         .otherwise(F.concat(F.lit("<|user:"), "role", F.lit("|>\n")))
     )
     rows = rotated.withColumns({"head": head, "body": F.concat("said", F.lit(END)), "mine": mine})
-    grouped = rows.groupBy("conv_id", "speaker", "slice", "piece").agg(
-        F.array_sort(F.collect_list(F.struct("nth", "head", "body", "mine"))).alias("turns")
+    grouped = rows.groupBy("conv_id", "speaker", "part").agg(
+        F.array_sort(F.collect_list(F.struct("place", "head", "body", "mine"))).alias("turns")
     )
     spans = F.aggregate(
         "turns",
@@ -64,11 +68,10 @@ def perspectives(conversations: DataFrame, part_turns: int = 1024) -> DataFrame:
             .alias("spans"),
         ),
     )["spans"]
-    order = Window.partitionBy("conv_id", "speaker").orderBy("slice", "piece")
     return grouped.select(
         "conv_id",
         "speaker",
-        (F.row_number().over(order) - 1).alias("part"),
+        "part",
         F.size("turns").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"])), "").alias("text"),
         spans.alias("spans"),

@@ -24,17 +24,15 @@ from dataclasses import dataclass
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recspark.llm.common import bounded
+from recspark.llm.common import numbered
 from recspark.session import checkpointed
 
 FAN = 16
 LEVELS = 3  # levels of a full piece
 PIECE = FAN**LEVELS
-ROWS_PER_PART = 50_000
 COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 PATH = "array<struct<before: binary, after: binary>>"
 
@@ -126,34 +124,6 @@ def leaf_rows(documents: DataFrame) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds `place` (from 0 in its tree, in `order`, which must tell all rows of a tree apart) and `n` (leaves of the tree)."""
-    names = rows.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", part int, nth long"
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tree, nth = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            nths = []
-            for now in batch.column("tree").to_pylist():
-                tree, nth = now, nth + 1 if now == tree else 0
-                nths.append(nth)
-            more = [pa.array([part] * len(nths), pa.int32()), pa.array(nths, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "part", "nth"])
-
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // ROWS_PER_PART + 1)
-    dealt = rows.repartitionByRange(parts, "tree", *order).sortWithinPartitions("tree", *order)
-    dealt = checkpointed(dealt.mapInArrow(number, schema))
-    counts = dealt.groupBy("tree", "part").agg(F.count("*").alias("rows"))
-    # One row per part and tree, never one per leaf.
-    tree = Window.partitionBy("tree")
-    before = tree.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = checkpointed(
-        counts.select("tree", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"), F.sum("rows").over(tree).alias("n"))
-    )
-    return dealt.join(bounded(starts), ["tree", "part"]).select(*names, (F.col("start") + F.col("nth")).alias("place"), "n")
-
-
 def tiers(leaves: DataFrame) -> list[DataFrame]:
     """The log in pieces: tree, piece, n (leaves of the tree in this tier), nodes in postorder; a table per tier."""
 

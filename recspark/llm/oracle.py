@@ -44,22 +44,21 @@ ORACLES["op6_chat"] = """
 WITH t AS (
   SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said FROM conversations
 ), n AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, floor(turn / 1024) ORDER BY turn, role, said) AS nth,
-    floor(turn / 1024) AS slice FROM t
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, said) AS nth FROM t
 ), s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'
 ), r AS (
-  SELECT n.conv_id, speaker, slice, floor((nth - 1) / 1024) AS piece, nth, role = speaker AS mine,
+  SELECT n.conv_id, speaker, CAST((nth - 1) // 1024 AS INTEGER) AS part, nth, role = speaker AS mine,
     CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
       ELSE '<|user:' || role || '|>' || chr(10) END AS head, said || '<|end|>' || chr(10) AS body
   FROM n JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id
 ), p AS (
-  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, slice, piece ORDER BY nth) AS stop FROM r
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY nth) AS stop FROM r
 )
-SELECT conv_id, speaker, CAST(row_number() OVER (PARTITION BY conv_id, speaker ORDER BY slice, piece) - 1 AS INTEGER) AS part,
+SELECT conv_id, speaker, part,
   CAST(count(*) AS INTEGER) AS n_turns, string_agg(head || body, '' ORDER BY nth) AS text,
   string_agg(CASE WHEN mine THEN (stop - length(body)) || '-' || stop END, ',' ORDER BY nth) AS spans,
   CAST(sum(CASE WHEN mine THEN length(body) ELSE 0 END) AS INTEGER) AS masked
-FROM p GROUP BY conv_id, speaker, slice, piece
+FROM p GROUP BY conv_id, speaker, part
 """
 
 ORACLES["op12_negatives"] = """

@@ -243,11 +243,22 @@ def test_chat_of_odd_turns(spark):
     rows = [(1, 0, "a", "hi"), (1, 0, "a", "hi"), (1, None, None, None), (2, 0, "system", "s"), (None, 3, "b", "x")]
     got = chat.perspectives(spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, part int"), 2).collect()
     assert sorted((str(r["conv_id"]), r["speaker"], r["part"], r["n_turns"]) for r in got) == [
-        ("1", "a", 0, 1), ("1", "a", 1, 2), ("1", "unknown", 0, 1), ("1", "unknown", 1, 2), ("None", "b", 0, 1)]
+        ("1", "a", 0, 2), ("1", "a", 1, 1), ("1", "unknown", 0, 2), ("1", "unknown", 1, 1), ("None", "b", 0, 1)]
     for r in got:
         assert all(r["text"][s["start"] : s["stop"]].endswith("<|end|>\n") for s in r["spans"])
 
 
+def test_parts_of_long_and_sparse_conversations(spark):
+    rows = [(1, 5000 * i, "ab"[i % 2], f"t{i}") for i in range(6)] + [(2, i, "c", "x" * (i % 3)) for i in range(2500)] + [(3, 7, "d", "same")] * 50
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {(r["conv_id"], r["speaker"], r["part"]): r for r in chat.perspectives(talks).collect()}
+    assert {k: r["n_turns"] for k, r in got.items()} == {(1, "a", 0): 6, (1, "b", 0): 6, (2, "c", 0): 1024, (2, "c", 1): 1024, (2, "c", 2): 452, (3, "d", 0): 50}
+    assert [m[0] for m in re.findall(r"(t\d)<", got[1, "a", 0]["text"])] == ["t"] * 6 and re.findall(r"t(\d)<", got[1, "a", 0]["text"]) == list("012345")
+    said = "".join(got[2, "c", p]["text"] for p in range(3))
+    assert said == "".join(f"<|assistant|>\n{'x' * (i % 3)}<|end|>\n" for i in range(2500))
+    assert chat.perspectives(talks.limit(0)).count() == 0
+
+
 # 7. Quality
 
 
