@@ -533,8 +533,8 @@ def prompts_of(spark, sf_dir, **options) -> DataFrame:
 
 @query
 def rerank_prompt(spark, sf_dir):
-    """With whole descriptions; ten candidates each."""
-    return prompts_of(spark, sf_dir, most=10)
+    """With whole descriptions."""
+    return prompts_of(spark, sf_dir)
 
 
 @query
