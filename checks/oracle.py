@@ -817,3 +817,9 @@ ORACLES["batch_recommendations"] = sql(
     listed=presented("parsed_left", "shelf"),
     fallback="SELECT *, row_number() OVER (ORDER BY num_reviews DESC, asin) AS rank FROM shelf QUALIFY rank <= 10")
 ORACLES["batch_recommendations_again"] = ORACLES["batch_recommendations"]
+_head, _tail = ORACLES["batch_recommendations"].split(f"\nSELECT {RESULT} FROM listed", 1)
+ORACLES["batch_popularity"] = f"""{_head},
+all_lists AS (SELECT {RESULT} FROM listed{_tail}),
+best_known AS (SELECT asin FROM shelf ORDER BY round(avg_rating * ln(1 + num_reviews), 6) DESC, asin LIMIT 10)
+SELECT query_id, 'popularity' AS method, count(*) FILTER (asin IN (SELECT asin FROM best_known)) AS overlap, CAST(10 AS INT) AS k
+FROM all_lists GROUP BY 1"""

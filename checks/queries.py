@@ -770,6 +770,12 @@ def end_to_end_batch(spark, sf_dir):
     return whole_batch(spark, sf_dir).comparison
 
 
+@query
+def batch_popularity(spark, sf_dir):
+    """How many of each user's recommendations are among the most popular products, from the comparison of the batch."""
+    return whole_batch(spark, sf_dir).comparison.filter("method = 'popularity'")
+
+
 @query
 def batch_recommendations(spark, sf_dir):
     """From raw files to the recommendations of every user."""

@@ -19,6 +19,7 @@ from recspark.functions.vectors import norm
 from recspark.operators.cells import MAX_CENTROID_BYTES, first_columns
 from recspark.operators.ranking import top_per_group
 from recspark.operators.search import MAX_CELLS, topk_in_cells
+from recspark.session import checkpointed
 
 
 @dataclass
@@ -169,5 +170,5 @@ def assign_leaves(items: DataFrame, tree: Tree) -> DataFrame:
 
 def tree_topk(queries: DataFrame, cells: DataFrame, tree: Tree, k: int = 100, *, n_branches: int = 2, n_probe: int = 4) -> DataFrame:
     """Top-k by inner product within the `n_probe` nearest leaves of each query's `n_branches` nearest branches."""
-    probed = queries.withColumn("cell", F.explode(nearest_leaves(tree, n_branches, n_probe)("embedding")))
-    return topk_in_cells(probed, cells, k, probes=n_probe)
+    probed = checkpointed(queries.withColumn("_cells", nearest_leaves(tree, n_branches, n_probe)("embedding")))
+    return topk_in_cells(probed.withColumn("cell", F.explode("_cells")).drop("_cells"), cells, k, probes=n_probe)

@@ -53,10 +53,9 @@ def retrieve_cells(
     """Retrieval by probing vector cells; the exclusion comes after the cut unless `exclude_first`, here or at the call."""
 
     def run(queries: DataFrame, excluded: DataFrame | None = None, n_queries: int | None = None, first: bool = False) -> DataFrame:
-        asked = checkpointed(queries)
         if excluded is not None and (exclude_first or first):
-            return excluded_first(lambda q, depth: ivf_topk(q, cells, centroids, depth, n_probe=n_probe), asked, excluded, k).drop("rank")
-        found = ivf_topk(asked, cells, centroids, k, n_probe=n_probe).drop("rank")
+            return excluded_first(lambda q, depth: ivf_topk(q, cells, centroids, depth, n_probe=n_probe), queries, excluded, k).drop("rank")
+        found = ivf_topk(queries, cells, centroids, k, n_probe=n_probe).drop("rank")
         return found if excluded is None else exclude_items(found, excluded, ["query_id", "asin"])
 
     return run
