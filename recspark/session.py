@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,9 +44,25 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_scopes: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/recspark-{uuid.uuid4().hex}/{name}"
+    """A new, unused path below the shared folder, or below that of the innermost `scratch`."""
+    return f"{_scopes[-1] if _scopes else shared_dir(spark)}/recspark-{uuid.uuid4().hex}/{name}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables that are written inside are removed at the end; results must have been written elsewhere by then."""
+    folder = work_path(spark, "scratch")
+    _scopes.append(folder)
+    try:
+        yield folder
+    finally:
+        _scopes.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

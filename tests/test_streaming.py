@@ -1,6 +1,7 @@
 from recspark.operators.search import exact_topk, newest_vectors
+from recspark.sources.files import path_exists
 from recspark.sources.versions import VersionedTable
-from recspark.session import checkpointed, shared_dir, spread, work_path
+from recspark.session import checkpointed, scratch, shared_dir, spread, work_path
 from recspark.streaming.delta_vectors import delta_vectors, run_delta_stream
 from recspark.streaming.product_stats import current_stats, run_stats_stream
 
@@ -62,6 +63,15 @@ def test_shared_folder_and_lineage_cut(spark):
     assert work_path(spark, "x") != work_path(spark, "x")
 
 
+def test_intermediate_tables_are_removed(spark, tmp_path):
+    with scratch(spark) as folder:
+        df = checkpointed(spark.range(7))
+        assert df.inputFiles()[0].removeprefix("file://").startswith(folder.removeprefix("file:"))
+        df.write.parquet(f"{tmp_path}/kept")
+    assert not path_exists(spark, folder) and spark.read.parquet(f"{tmp_path}/kept").count() == 7
+    assert not work_path(spark, "x").startswith(folder)
+
+
 def test_spread_leaves_derived_and_tiny_tables_alone(spark):
     tiny = checkpointed(spark.range(5))
     assert spread(tiny).rdd.getNumPartitions() == tiny.rdd.getNumPartitions()
