@@ -85,6 +85,47 @@ def test_running_lists_forget_ids_and_keep_ties():
         assert [a for a, name in zip(got["asin"], got["query_id"]) if name == "abcde"[q]] == [ids[i] for i in best]
 
 
+def test_running_lists_hold_little_besides_the_lists():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    vectors, items = rng.normal(size=(6000, 8)), rng.normal(size=(9000, 8))
+    depths = np.full(6000, 50)
+    tracemalloc.start()
+    lists = search._RunningLists(pa.array([f"q{i:04}" for i in range(6000)]), vectors, depths, 6)
+    for start in range(0, 9000, 3000):
+        lists.add(pa.array([f"{i:04}" for i in range(start, start + 3000)]), items[start : start + 3000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    got = lists.table((0, 0, 0)).to_pydict()
+    for q in (0, 1023, 1024, 5999):
+        scores = np.floor(np.abs(items @ vectors[q]) * 1e6 + 0.5) * np.sign(items @ vectors[q])
+        best = sorted(range(9000), key=lambda i: (-scores[i], i))[:50]
+        assert [a for a, name in zip(got["asin"], got["query_id"]) if name == f"q{q:04}"] == [f"{i:04}" for i in best]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 1e20, 1e200])
+def test_running_lists_are_exact_for_copies_and_any_scale(scale):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-3, 4, (70, 4)).astype(float) * scale
+    items = np.concatenate([np.repeat(rng.integers(-3, 4, (2, 4)), 700, axis=0), rng.integers(-3, 4, (3000, 4))]).astype(float)
+    depths = rng.integers(0, 40, 70)
+    lists = search._RunningLists(pa.array([f"{i:02}" for i in range(70)]), vectors, depths, 6)
+    for start in range(0, len(items), 900):
+        lists.add(pa.array([f"{i:05}" for i in range(start, min(start + 900, len(items)))]), items[start : start + 900])
+    got = lists.table((0, 0, 0)).to_pydict()
+    raw = vectors @ items.T
+    scores = np.copysign(np.floor(np.abs(raw) * 1e6 + 0.5) / 1e6, raw) + 0.0
+    for q in range(70):
+        best = sorted(range(len(items)), key=lambda i: (-scores[q, i], i))[: depths[q]]
+        assert [a for a, name in zip(got["asin"], got["query_id"]) if name == f"{q:02}"] == [f"{i:05}" for i in best]
+
+
 def test_equal_scores_go_by_id(spark):
     items = [(f"p{i}", [1.0, 0.0]) for i in (3, 1, 2, 0)] + [("z", [0.0, 0.0])]
     q, i = frames(spark, [("q", [1.0, 0.0]), ("zero", [0.0, 0.0])], items)
