@@ -14,7 +14,7 @@ from recspark.operators.cells import ivf_topk
 from recspark.operators.durable import ask_durably
 from recspark.operators.embed import embed_texts
 from recspark.operators.history import history_summary, recent_best, rich_query_text, with_products
-from recspark.operators.popularity import display_columns, popular_fallback
+from recspark.operators.popularity import BROADCAST_ROWS, display_columns, popular_fallback
 from recspark.operators.profiles import blend_query_vectors, profile_vectors
 from recspark.operators.ranking import best_first, exclude_items, keep_items, top_per_group
 from recspark.operators.compare import pooled_candidates
@@ -69,7 +69,8 @@ def present(candidates: DataFrame, products: DataFrame, k: int = TOP, *, all_kno
     """
     known = candidates if all_known else keep_items(candidates, products, ["asin"])
     best = top_per_group(known, ["query_id"], best_first(), k)
-    return best.join(products.select("asin", *display_columns(products)), "asin").withColumn(
+    # Products are as many as the catalogue has, whatever size their compressed file has; they are not broadcast.
+    return best.hint("merge").join(products.select("asin", *display_columns(products)), "asin").withColumn(
         "explanation", F.concat(F.lit("Similarity score: "), fixed(F.col("score"), 3))
     )
 
@@ -201,10 +202,24 @@ def recommend_item_lists(
     *,
     fallback: DataFrame | None = None,
 ) -> DataFrame:
-    """As `recommend_history`, for histories given as `lists(query_id, asins)`; a repeated id counts each time."""
-    named = lists.select("query_id", F.explode("asins").alias("asin"))
-    queries = profile_vectors(named, vectors, user="query_id")
-    shown = present(retrieval(queries, named, lists.count()), products, k)
+    """As `recommend_history`, for histories given as `lists(query_id, asins)`; a repeated id counts each time.
+
+    Lists with the same items have the same answer, which is looked for once. Rows of ids compress well, so the size of
+    their file says little: beyond `BROADCAST_ROWS` rows they are never broadcast.
+    """
+    pooled = lists.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("asins"))).alias("asins"))
+    # Without an id nothing is excluded.
+    none = F.col("query_id").isNull()
+    asked = checkpointed(pooled.select("query_id", F.sha2(F.to_json(F.struct(none, "asins")), 256).alias("key"), none.alias("none"), "asins"))
+    kinds = asked.groupBy("key").agg(F.first("asins").alias("asins"), F.first("none").alias("none"))
+    named = checkpointed(kinds.select(F.col("key").alias("query_id"), "none", F.explode("asins").alias("asin")))
+    n_named = named.count()
+    known = named.hint("merge") if n_named > BROADCAST_ROWS else named
+    queries = profile_vectors(known.select("query_id", "asin"), vectors, user="query_id")
+    excluded = known.filter(~F.col("none")).select("query_id", "asin")
+    n_kinds = named.select("query_id").distinct().count()
+    shown = present(retrieval(queries, excluded, n_kinds), products, k).withColumnRenamed("query_id", "key")
+    shown = asked.select("key", "query_id").hint("merge").join(shown, "key").select("query_id", *[c for c in shown.columns if c != "key"])
     return shown if fallback is None else answered(shown, lists, fallback, k)
 
 

@@ -268,3 +268,25 @@ def test_diversity_and_split(spark):
     train, test = evaluate.holdout_split(spark.createDataFrame(rows, REVIEWS))
     assert [r["review_id"] for r in test.collect()] == ["r5"]
     assert sorted(r["review_id"] for r in train.collect()) == ["r0", "r1", "r2", "r3", "r4"]
+
+
+def test_equal_item_lists_are_searched_once_and_never_broadcast_when_many(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = spark.createDataFrame([(f"p{i}", rng.normal(size=4).tolist()) for i in range(30)], "asin string, embedding array<double>")
+    products = spark.createDataFrame(product_rows(30), PRODUCTS)
+    rows = [("a", ["p1", "p2"]), ("b", ["p2", "p1"]), ("c", ["p1"]), ("c", ["p2"]), ("d", ["p3", None]), ("e", None), ("f", ["p1", "p1", "p2"])]
+    lists = spark.createDataFrame(rows, "query_id string, asins array<string>")
+    exact, asked = recommend.retrieve_exact(v, 20), []
+
+    def spy(queries, excluded, n):
+        asked.append((queries.count(), n, "Broadcast" in excluded.join(queries, "query_id")._jdf.queryExecution().executedPlan().toString()))
+        return exact(queries, excluded, n)
+
+    monkeypatch.setattr(recommend, "BROADCAST_ROWS", 0)
+    got = recommend.recommend_item_lists(lists, products, spy, v, 4)
+    assert asked == [(3, 3, False)]
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["asin"], r["score"]))
+    assert set(found) == set("abcdf") and found["a"] == found["b"] == found["c"] != found["f"]
+    assert {"p1", "p2"}.isdisjoint(a for a, _ in found["a"]) and len(found["a"]) == 4
