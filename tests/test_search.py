@@ -259,3 +259,24 @@ def test_own_model(spark):
 def test_exact_search_matches_brute_force(spark, n, k, seed):
     queries, items = random_vectors(3, 4, seed, "q"), random_vectors(n, 4, seed + 1)
     assert collected(search.exact_topk(*frames(spark, queries, items), k)) == brute(queries, items, k)
+
+
+def test_texts_are_tokenised_a_few_at_a_time(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from recspark.operators import embed
+
+    texts = [None, "", " ".join(f"w{i % 97}" for i in range(600_000))] + [" ".join(f"w{(i + n) % 97}" for i in range(500)) for n in range(4000)]
+    histogram = embed._token_histogram(8).func
+    given = pa.array(texts[3:] + texts[:2])
+    tracemalloc.start()
+    many = histogram(given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    many = many.to_pylist()
+    assert many[::500] == [histogram(pa.array([t], pa.string())).to_pylist()[0] for t in (texts[3:] + texts[:2])[::500]]
+    assert many[-2:] == [[0.0] * 8] * 2 and histogram(pa.array([], pa.string())).to_pylist() == []
+    assert len(histogram(pa.array(texts[2:3] * 3)).to_pylist()) == 3
