@@ -290,3 +290,39 @@ def test_equal_item_lists_are_searched_once_and_never_broadcast_when_many(spark,
         found.setdefault(r["query_id"], []).append((r["asin"], r["score"]))
     assert set(found) == set("abcdf") and found["a"] == found["b"] == found["c"] != found["f"]
     assert {"p1", "p2"}.isdisjoint(a for a, _ in found["a"]) and len(found["a"]) == 4
+
+
+def test_prompts_by_block_send_a_text_once(spark, monkeypatch):
+    texts = [(f"p{i}", f"t{i}" if i % 3 else None, "c", "long " * 200 + str(i)) for i in range(20)]
+    texts.append(texts[3])
+    products = spark.createDataFrame(texts, "asin string, title string, category string, description string")
+    rows = [(f"q{q:02}", f"p{(q + r) % 22}", 1.0 / r, r) for q in range(40) for r in range(1, 11)] + [(None, "p1", 1.0, 1)]
+    candidates = spark.createDataFrame(rows, "query_id string, asin string, score double, rank int")
+    summaries = spark.createDataFrame([(f"q{q:02}", f"s{q}") for q in range(1, 42)] + [(None, "s"), ("q02", "second"), ("q03", None)], "query_id string, summary string")
+    asks = spark.createDataFrame([("q01", "red", ["a", "b"]), ("q02", "", [])], "query_id string, query string, criteria array<string>")
+    options = {"most": 7, "sustainability_mode": True}
+    joined = candidates.join(products, "asin")
+    wanted = sorted(map(repr, rerank.rerank_prompts(joined, summaries, asks, **options).collect()))
+    sent = []
+
+    def counting(tail):
+        run = written(tail)
+
+        def counted(batches):
+            rows, total = [], 0
+            for batch in batches:
+                total += sum(len(t or "") for t in batch.column("text").to_pylist())
+                rows.append(batch)
+            assert total < 60_000  # 378 candidates have 380,000 characters
+            yield from run(rows)
+
+        sent.append(1)
+        return counted
+
+    written = rerank._written_prompts
+    monkeypatch.setattr(rerank, "_written_prompts", counting)
+    assert sorted(map(repr, rerank.rerank_prompts(candidates, summaries, asks, products=products, **options).collect())) == wanted and sent
+    monkeypatch.setattr(rerank, "_written_prompts", written)
+    monkeypatch.setattr(rerank, "PROMPT_ROWS", 30)
+    monkeypatch.setattr(rerank, "PROMPT_BATCH", 5_000)
+    assert sorted(map(repr, rerank.rerank_prompts(candidates, summaries, asks, products=products, **options).collect())) == wanted
