@@ -2,7 +2,8 @@
 
 Items lie in blocks of like direction. A block's cone (its centre, the largest angle of an item to it, the longest and the
 shortest vector) bounds what a query can score in it. Every query visits blocks in the order of their bounds, in waves of 1, 2, 4, ... blocks; a
-block whose bound is below the query's k-th best score so far is skipped, and so are all after it. The rows are those of the exact search.
+block whose bound is below the query's k-th best score so far is skipped, and so are all after it. Where bounds say little, waves grow until
+they would hold more than `WAVE_SHARE` rows per item; whoever is left then is searched for exactly. The rows are those of the exact search.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from recspark.functions.numbers import SCORE_DIGITS
 from recspark.functions.vectors import as_doubles, dot, norm, unit
 from recspark.operators.cells import MAX_CENTROID_BYTES, assign_cells
 from recspark.operators.ranking import best_first, top_per_group
-from recspark.operators.search import MAX_CELLS, cell_candidates, merge_lists
+from recspark.operators.search import MAX_CELLS, cell_candidates, exact_topk, merge_lists
 from recspark.session import checkpointed
 
 BLOCK_ROWS = 4096
+WAVE_SHARE = 8
+WAVE_ROWS = 2_000_000
 SLACK = 1e-9  # what a bound may lack by the rounding of floats
 
 
@@ -100,6 +103,7 @@ def skipping_topk(queries: DataFrame, index: Cones, k: int = 100, *, first: int
     """
     choose = _next_blocks(index, SLACK + 0.5 * 10.0**-digits)
     state = checkpointed(queries.select("query_id", "embedding", F.lit(0).alias("visited"), F.lit(None).cast("double").alias("worst")))
+    n_items, n_blocks = index.items.count(), index.cones.count()
     found, open_rows, take, wave = None, state, first, 0
     done = []
     while True:
@@ -108,7 +112,15 @@ def skipping_topk(queries: DataFrame, index: Cones, k: int = 100, *, first: int
         # Whoever has no block left to visit is done.
         done.append(asked.filter(F.size("blocks") == 0).select("query_id", "visited"))
         going = asked.filter(F.size("blocks") > 0)
-        if going.isEmpty():
+        n_pairs = going.agg(F.sum(F.size("blocks"))).first()[0] or 0
+        if not n_pairs:
+            break
+        if n_pairs > max(WAVE_ROWS, WAVE_SHARE * n_items):
+            fresh = exact_topk(going.select("query_id", "embedding"), index.items.select("asin", "embedding"), k, n_items=n_items, digits=digits)
+            fresh = fresh.select("query_id", "asin", "score")
+            ids = going.select(F.col("query_id").alias("_id")).distinct()
+            found = fresh if found is None else found.join(ids, found["query_id"].eqNullSafe(ids["_id"]), "left_anti").unionByName(fresh)
+            done.append(going.select("query_id", F.lit(n_blocks).alias("visited")))
             break
         pairs = going.select("query_id", "embedding", F.explode("blocks").alias("cell"))
         lists, most, n_cells = cell_candidates(pairs, index.items, k, digits=digits)

@@ -39,6 +39,25 @@ def test_skipping_search_on_vectors_without_structure(spark):
     assert found.count() == 3 * len(items) and {r["visited"] for r in visits.collect()} == {index.cones.count()}
 
 
+def test_waves_stay_bounded_where_bounds_say_little(spark, monkeypatch):
+    queries, items = random_vectors(40, seed=14, prefix="q"), random_vectors(300, seed=15)
+    q, i = frames(spark, queries, items)
+    index = cones.build_cones(i, train_centroids(i, 10), 5)
+    pairs, real = [], cones.cell_candidates
+
+    def counting(asked, *args, **options):
+        pairs.append(asked.count())
+        return real(asked, *args, **options)
+
+    monkeypatch.setattr(cones, "cell_candidates", counting)
+    monkeypatch.setattr(cones, "WAVE_ROWS", 100, raising=False)
+    monkeypatch.setattr(cones, "WAVE_SHARE", 1, raising=False)
+    found, visits = cones.skipping_topk(q, index, 7)
+    assert collected(found) == brute(queries, items, 7) and max(pairs) <= 300
+    assert sorted(r["query_id"] for r in visits.collect()) == [n for n, _ in queries]
+    assert visits.agg(F.max("visited")).first()[0] == index.cones.count()
+
+
 def test_first_columns():
     scores = np.array([[1.0, 3.0, 3.0, 2.0], [0.0, 0.0, 0.0, 0.0]])
     assert first_columns(scores, 2).tolist() == [[1, 2], [0, 1]] and first_columns(scores, 3).tolist() == [[1, 2, 3], [0, 1, 2]]
