@@ -3,7 +3,7 @@
 Items lie in blocks of like direction. A block's cone (its centre, the largest angle of an item to it, the longest and the
 shortest vector) bounds what a query can score in it. Every query visits blocks in the order of their bounds, in waves of 1, 2, 4, ... blocks; a
 block whose bound is below the query's k-th best score so far is skipped, and so are all after it. Where bounds say little, waves grow until
-they would hold more than `WAVE_SHARE` rows per item; whoever is left then is searched for exactly. The rows are those of the exact search.
+their lists would have more than `WAVE_SHARE` times the rows of the whole answer; whoever is left then is searched for exactly. The rows are those of the exact search.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from recspark.operators.search import MAX_CELLS, cell_candidates, exact_topk, me
 from recspark.session import checkpointed
 
 BLOCK_ROWS = 4096
-WAVE_SHARE = 8
+WAVE_SHARE = 2
 WAVE_ROWS = 2_000_000
 SLACK = 1e-9  # what a bound may lack by the rounding of floats
 
@@ -104,6 +104,7 @@ def skipping_topk(queries: DataFrame, index: Cones, k: int = 100, *, first: int
     choose = _next_blocks(index, SLACK + 0.5 * 10.0**-digits)
     state = checkpointed(queries.select("query_id", "embedding", F.lit(0).alias("visited"), F.lit(None).cast("double").alias("worst")))
     n_items, n_blocks = index.items.count(), index.cones.count()
+    per_block, answer = min(k, -(-n_items // max(1, n_blocks))), state.count() * min(k, n_items)
     found, open_rows, take, wave = None, state, first, 0
     done = []
     while True:
@@ -115,7 +116,7 @@ def skipping_topk(queries: DataFrame, index: Cones, k: int = 100, *, first: int
         n_pairs = going.agg(F.sum(F.size("blocks"))).first()[0] or 0
         if not n_pairs:
             break
-        if n_pairs > max(WAVE_ROWS, WAVE_SHARE * n_items):
+        if n_pairs * per_block > max(WAVE_ROWS, WAVE_SHARE * answer):
             fresh = exact_topk(going.select("query_id", "embedding"), index.items.select("asin", "embedding"), k, n_items=n_items, digits=digits)
             fresh = fresh.select("query_id", "asin", "score")
             ids = going.select(F.col("query_id").alias("_id")).distinct()
