@@ -280,3 +280,17 @@ def test_texts_are_tokenised_a_few_at_a_time(spark):
     assert many[::500] == [histogram(pa.array([t], pa.string())).to_pylist()[0] for t in (texts[3:] + texts[:2])[::500]]
     assert many[-2:] == [[0.0] * 8] * 2 and histogram(pa.array([], pa.string())).to_pylist() == []
     assert len(histogram(pa.array(texts[2:3] * 3)).to_pylist()) == 3
+
+
+def test_lists_are_sorted_as_whole_numbers_where_values_allow_it():
+    rng = np.random.default_rng(3)
+    chunk = search._Chunk(0, np.ones((1024, 4)), np.full(1024, 5), 1e6)
+    rows, places = rng.integers(0, 1024, 5000).astype(np.int32), np.arange(5000, dtype=np.int32)
+    for scale in (1, 2.09, 1e3, 1e20):
+        values = np.rint(rng.choice([-1, -0.5, 0.25, 0, 1], 5000) * scale * 1e6) / 1e6 + 0.0
+        order = np.lexsort((places, -values, rows))
+        got = chunk._in_order(rows, places, values)
+        assert all(np.array_equal(a, b[order]) for a, b in zip(got, (rows, places, values)))
+    for shape in ((3, 5), (8, 16), (1, 7), (0, 4)):
+        mask = rng.random(shape) < 0.3
+        assert np.array_equal(search._true_places(mask), np.flatnonzero(mask))
