@@ -294,3 +294,12 @@ def test_lists_are_sorted_as_whole_numbers_where_values_allow_it():
     for shape in ((3, 5), (8, 16), (1, 7), (0, 4)):
         mask = rng.random(shape) < 0.3
         assert np.array_equal(search._true_places(mask), np.flatnonzero(mask))
+
+
+def test_a_least_score_leaves_the_same_rows_above_it(spark):
+    queries, items = random_vectors(30, seed=8, prefix="q"), random_vectors(300, seed=9)
+    q, i = frames(spark, queries, items)
+    every = brute(queries, items, 20)
+    least = sorted(s for rows in every.values() for _, s in rows)[250]
+    want = {a: [(b, s) for b, s in rows if s >= least] for a, rows in every.items()}
+    assert collected(search.exact_topk(q, i, 20, least=least)) == {a: rows for a, rows in want.items() if rows}

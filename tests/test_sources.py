@@ -9,6 +9,7 @@ from recspark.operators.catalogue import (
     one_per_product,
     review_digest,
 )
+from recspark.plans import batch as batch_plan
 from recspark.plans.batch import load_or_build_catalogue, run_batch
 from recspark.sources import jsonl, tables
 
@@ -176,3 +177,16 @@ def test_a_second_batch_gives_the_same_rows(spark, tmp_path):
         runs.append(sorted(tuple(r) for r in batch.recommendations.select("query_id", "rank", "asin", "score").collect()))
     assert batch.products.count() > 500
     assert runs[0] == runs[1] and runs[2] == runs[3] and runs[0]
+
+
+def test_a_batch_makes_only_the_baselines_that_are_compared(spark, tmp_path, monkeypatch):
+    lines = [{"reviewerID": f"u{i}", "asin": f"p{(7 * i + j) % 9}", "overall": 3 + (i + j) % 3, "reviewText": f"text {j}", "unixReviewTime": i} for i in range(6) for j in range(4)]
+    write(tmp_path / "reviews.json", lines)
+    write(tmp_path / "metadata.json", [{"asin": f"p{i}", "title": f"thing {i}"} for i in range(9)])
+    made = []
+    fit = batch_plan.item_factors
+    monkeypatch.setattr(batch_plan, "item_factors", lambda *a: made.append(1) or fit(*a))
+    batch = run_batch(spark, str(tmp_path), str(tmp_path / "c.parquet"), k=3, n_components=2)
+    popular = {tuple(r) for r in batch.compared("popularity").collect()}
+    assert popular and not made
+    assert popular == {tuple(r) for r in batch.comparison.filter("method = 'popularity'").collect()} and made
