@@ -190,3 +190,16 @@ def test_a_batch_makes_only_the_baselines_that_are_compared(spark, tmp_path, mon
     popular = {tuple(r) for r in batch.compared("popularity").collect()}
     assert popular and not made
     assert popular == {tuple(r) for r in batch.comparison.filter("method = 'popularity'").collect()} and made
+
+
+@pytest.mark.parametrize("name", ["c.parquet", "c.csv"])
+def test_a_stored_catalogue_is_much_smaller_than_its_texts(spark, tmp_path, name):
+    words = " ".join(f"word{i * i % 997}" for i in range(4000))
+    products = spark.range(200).selectExpr("cast(id AS string) asin", f"concat(id, ' ', '{words}') description").selectExpr(
+        "*", "concat('Title | ', description) text_for_embedding", "CAST(NULL AS string) image_url"
+    )
+    tables.save_catalogue(products, str(tmp_path / name))
+    stored = sum(f.stat().st_size for f in (tmp_path / name).iterdir())
+    assert stored < 200 * 2 * len(words) / 10
+    back = tables.load_catalogue(spark, str(tmp_path / name)).select("asin", "description", "text_for_embedding")
+    assert sorted(back.collect()) == sorted(products.drop("image_url").collect())
