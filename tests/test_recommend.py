@@ -326,3 +326,14 @@ def test_prompts_by_block_send_a_text_once(spark, monkeypatch):
     monkeypatch.setattr(rerank, "PROMPT_ROWS", 30)
     monkeypatch.setattr(rerank, "PROMPT_BATCH", 5_000)
     assert sorted(map(repr, rerank.rerank_prompts(candidates, summaries, asks, products=products, **options).collect())) == wanted
+
+
+def test_lists_are_taken_in_parts_of_bounded_size():
+    import pyarrow as pa
+
+    lists = [list(range(n)) for n in (5, 0, 30, 1, 1, 7, 0)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists, pa.list_(pa.int64()))], ["user", "asin"])
+    parts = list(filtering._parts(batch, "asin", 10))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and len(parts) > 2
+    assert all(p.num_rows == 1 or sum(len(x or []) + 1 for x in p.column(1).to_pylist()[:-1]) <= 10 for p in parts)
+    assert not list(filtering._parts(batch.slice(0, 0), "asin", 10))
