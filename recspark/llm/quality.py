@@ -1,9 +1,10 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model has symbols of a fixed alphabet (`SYMBOLS`) and order 3, so its tables are bounded by SYMBOLS**3 whatever the
-input. Its counts are summed over shards of the trusted text and joined order by order: trigrams with their contexts,
-bigram continuations with theirs, then unigrams. The result, one log probability per trigram, goes to every task. A
-document's cross-entropy is compared with quantiles of the trusted documents of its language: it is rejected above
+The model has symbols of a fixed alphabet (`SYMBOLS`) and order 3. Its counts are summed over shards of the trusted text and joined
+order by order: trigrams with their contexts, bigram continuations with theirs, then unigrams. Documents meet the counts the same
+way: they are dealt to shards of bounded size, each shard lists its distinct trigrams once, the lists are joined to the counts of
+every order, and the joined rows go back to their shard, where every document adds up its own. No count table passes through the driver, and
+a frequent trigram has one row per shard. A document's cross-entropy is compared with quantiles of the trusted documents of its language: it is rejected above
 median + margin * (upper quantile - median). Short texts say little, so `prior` symbols at the language's median are
 added to every text.
 
@@ -19,6 +20,7 @@ names are kept by `keep_good` and otherwise not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ BITS = 7
 SYMBOLS = 1 << BITS
 EDGE = SYMBOLS - 1
 BINS = 1000  # quantiles are taken of thousandths of a bit
+SHARD_BYTES = 16 * 1024 * 1024  # of text
 
 
 def _alphabet() -> np.ndarray:
@@ -65,9 +68,14 @@ def count_trigrams(documents: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(total[grams])], ["gram", "n"])
 
     summed = documents.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return _parted(summed).drop("gram")
+
+
+def _parted(grams: DataFrame) -> DataFrame:
+    """Adds the symbols a, b, c of every trigram `gram`."""
     gram = F.col("gram")
-    return summed.select(
-        F.shiftright(gram, 2 * BITS).alias("a"), F.shiftright(gram, BITS).bitwiseAND(EDGE).alias("b"), gram.bitwiseAND(EDGE).alias("c"), "n"
+    return grams.withColumns(
+        {"a": F.shiftright(gram, 2 * BITS), "b": F.shiftright(gram, BITS).bitwiseAND(EDGE), "c": gram.bitwiseAND(EDGE)}
     )
 
 
@@ -90,48 +98,100 @@ def _discounted(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataF
     return joined.withColumn("share", (n - cut) / F.col("total")).drop("total", "cut", "rest"), rest.drop("total", "cut")
 
 
-def fit(trusted: DataFrame) -> np.ndarray:
-    """Bits of every trigram, at place a, b, c of the table; rows needed from Spark are at most SYMBOLS**3."""
+@dataclass(frozen=True)
+class Model:
+    """Discounted counts of every order, as tables: `share` of the seen n-grams, `rest` of their contexts."""
+
+    three: DataFrame  # a, b, c, share
+    two: DataFrame  # b, c, share
+    one: DataFrame  # c, share
+    after_two: DataFrame  # a, b, rest
+    after_one: DataFrame  # b, rest
+    unseen: float  # probability of each symbol before anything is known
+
+    def rated(self, grams: DataFrame) -> DataFrame:
+        """Adds `bits` to rows with a trigram `gram`, by a join with the counts of every order."""
+        rows = _parted(grams).hint("merge")  # the trigram counts may be many; the other tables have SYMBOLS**2 rows at most
+        for counts, on, value in (
+            (self.three, ["a", "b", "c"], "share3"), (self.after_two, ["a", "b"], "rest3"), (self.two, ["b", "c"], "share2"),
+            (self.after_one, ["b"], "rest2"), (self.one, ["c"], "share1"),
+        ):
+            rows = rows.join(counts.select(*on, F.col(counts.columns[-1]).alias(value)), on, "left")
+        seen = {n: F.coalesce(f"share{n}", F.lit(0.0)) for n in (1, 2, 3)}
+        rest = {n: F.coalesce(f"rest{n}", F.lit(1.0)) for n in (2, 3)}
+        p = seen[3] + rest[3] * (seen[2] + rest[2] * (seen[1] + F.lit(self.unseen)))
+        return rows.select(*grams.columns, (-F.log2(p)).cast("float").alias("bits"))
+
+
+def train(trusted: DataFrame) -> Model:
+    """The model of all trusted texts; only single numbers come to the driver."""
     three = checkpointed(count_trigrams(trusted))
     two = checkpointed(three.groupBy("b", "c").agg(F.count("*").alias("n")))
-    one = two.groupBy("c").agg(F.count("*").alias("n"))
-    if one.isEmpty():
-        return np.full((SYMBOLS,) * 3, BITS, dtype=np.float32)
+    one = checkpointed(two.groupBy("c").agg(F.count("*").alias("n")))
     (share3, rest3), (share2, rest2), (share1, rest1) = _discounted(three, ["a", "b"]), _discounted(two, ["b"]), _discounted(one, [])
-    p1 = np.full(SYMBOLS, rest1.first()["rest"] / SYMBOLS)
-    rows = share1.toPandas()
-    p1[rows["c"]] += rows["share"]
-    rows, left = share2.toPandas(), rest2.toPandas()
-    gamma = np.ones(SYMBOLS)
-    gamma[left["b"]] = left["rest"]
-    p2 = gamma[:, None] * p1
-    p2[rows["b"], rows["c"]] += rows["share"]
-    rows, left = share3.toPandas(), rest3.toPandas()
-    gamma = np.ones((SYMBOLS, SYMBOLS))
-    gamma[left["a"], left["b"]] = left["rest"]
-    p3 = gamma[:, :, None] * p2[None]
-    p3[rows["a"], rows["b"], rows["c"]] += rows["share"]
-    return -np.log2(p3).astype(np.float32)
-
-
-def score(documents: DataFrame, bits: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, lang, n_symbols, bits of every document."""
-    table = bits.ravel()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, total = [], []
-            for text in batch.column(3).to_pylist():
-                grams = trigrams(text)
-                n.append(len(grams))
-                total.append(float(table[grams].sum(dtype=np.float64)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(total, pa.float64())],
-                ["doc_id", "text_hash", "lang", "n_symbols", "bits"],
-            )
+    left = rest1.first()["rest"]
+    tables = (
+        share3.select("a", "b", "c", "share"), share2.select("b", "c", "share"), share1.select("c", "share"),
+        rest3.select("a", "b", "rest"), rest2.select("b", "rest"),
+    )
+    return Model(*map(checkpointed, tables), (1.0 if left is None else left) / SYMBOLS)
 
+
+def fit(trusted: DataFrame) -> np.ndarray:
+    """Bits of every trigram there can be, at place a, b, c; to look at a whole model, documents are scored without it."""
+    rows = train(trusted).rated(trusted.sparkSession.range(SYMBOLS**3).withColumnRenamed("id", "gram")).toPandas()
+    bits = np.empty(SYMBOLS**3, dtype=np.float32)
+    bits[rows["gram"]] = rows["bits"]
+    return bits.reshape((SYMBOLS,) * 3)
+
+
+def _dealt(documents: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text_hash, lang, text and shard, in shards of about SHARD_BYTES of text, and the number of shards."""
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(2 * documents.sparkSession.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
     rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "lang", "text")
-    return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, lang string, n_symbols long, bits double")
+    return rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(shards)).cast("int")).repartition(shards, "shard"), shards
+
+
+def _listed(dealt: DataFrame) -> DataFrame:
+    """shard, gram: the distinct trigrams of every shard, once each; no shard lies in two tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {}
+        for batch in batches:
+            for shard, text in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist()):
+                seen.setdefault(shard, np.zeros(SYMBOLS**3, dtype=bool))[trigrams(text)] = True
+        for shard, marks in seen.items():
+            grams = np.flatnonzero(marks)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), shard, np.int32)), pa.array(grams)], ["shard", "gram"])
+
+    return dealt.mapInArrow(run, "shard int, gram long")
+
+
+def score(documents: DataFrame, model: Model) -> DataFrame:
+    """doc_id, text_hash, lang, n_symbols, bits of every document.
+
+    The trigrams of a shard are joined to the counts of all orders, and its documents read what came of them.
+    """
+    dealt, shards = _dealt(documents)
+    rated = model.rated(_listed(dealt)).repartition(shards, "shard")
+
+    def add_up(texts: pa.Table, grams: pa.Table) -> pa.Table:
+        table = np.full(SYMBOLS**3, np.nan, dtype=np.float32)
+        table[np.asarray(grams.column("gram"))] = np.asarray(grams.column("bits"))
+        n, total = [], []
+        for chunk in texts.column("text").chunks:
+            for text in chunk.to_pylist():
+                own = trigrams(text)
+                n.append(len(own))
+                total.append(float(table[own].sum(dtype=np.float64)))
+        kept = [texts.column(c) for c in ("doc_id", "text_hash", "lang")]
+        return pa.table([*kept, pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "text_hash", "lang", "n_symbols", "bits"])
+
+    kind = dealt.schema["doc_id"].dataType.simpleString()
+    return dealt.groupBy("shard").cogroup(rated.groupBy("shard")).applyInArrow(
+        add_up, f"doc_id {kind}, text_hash long, lang string, n_symbols long, bits double"
+    )
 
 
 def _quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -159,7 +219,7 @@ def judge(
         rate = min(1.0, fit_rows / max(trusted.count(), 1))
         chosen = chosen.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < rate * (1 << 30))
     sample = documents.select("doc_id", "text").join(bounded(chosen), F.col("doc_id") == F.col("__id"), "left_semi")
-    scored = checkpointed(score(documents, fit(sample)))
+    scored = checkpointed(score(documents, train(sample)))
     known = scored.join(trusted, F.col("doc_id") == F.col("__id"), "left")
     known = checkpointed(
         known.select(

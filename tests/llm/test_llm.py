@@ -273,6 +273,21 @@ def test_trigram_probabilities_sum_to_one_and_junk_goes(spark, odd, none):
     assert quality.keep_good(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_documents_meet_the_counts_by_joins(spark, monkeypatch):
+    """Texts of several shards, with trigrams, contexts and symbols that the model has not seen, get the bits of the whole model."""
+    monkeypatch.setattr(quality, "SHARD_BYTES", 64)
+    texts = ["the cat sat on the mat", "the dog sat", "zebra! é 漢", "", None, "the cat sat on the mat"] * 20
+    docs = spark.createDataFrame([(i % 117, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    trusted = docs.filter("doc_id < 2")
+    model, whole = quality.train(trusted), quality.fit(trusted).ravel()
+    scored = quality.score(docs, model)
+    assert "SortMergeJoin" in scored._jdf.queryExecution().executedPlan().toString()
+    want = sorted((i % 117, len(t or "") + 1, float(whole[quality.trigrams(t)].sum(dtype=np.float64))) for i, t in enumerate(texts))
+    assert sorted((r["doc_id"], r["n_symbols"], r["bits"]) for r in scored.collect()) == want
+    nothing = quality.train(trusted.limit(0))
+    assert {r["bits"] for r in quality.score(docs.filter("text = ''"), nothing).collect()} == {float(quality.BITS)}
+
+
 # 8. SimHash
 
 
