@@ -142,6 +142,25 @@ def test_scores_of_neighbours_by_lists(spark, entries):
     assert filtering.recommend_neighbors(matrix.limit(0), pairs, 4).count() == 0
 
 
+def test_a_block_of_users_gets_a_list_once(spark, monkeypatch):
+    """Lists do not travel with every rating; users with more ratings than a block are summed up by Spark, with the same rows."""
+    rng = np.random.default_rng(6)
+    items = [f"i{n:02}" for n in range(30)]
+    rows = [(f"u{u:02}", items[i], 1.0) for u in range(200) for i in {*rng.integers(0, 25, 8)}] + [("bot", i, 2.0) for i in items[:20]]
+    rows += [(None, i, 2.0) for i in items[3:9]] + [("u00", None, 1.0)]
+    near = {i: [(o, float(np.round(rng.random() - 0.3, 4))) for o in rng.permutation(items)[:9] if o != i] for i in items[:28]}
+    pairs = spark.createDataFrame([(i, o, c) for i in near for o, c in near[i]], "asin string, neighbor string, corr double")
+    matrix = spark.createDataFrame(rows, "user string, item string, rating double")
+    lists = filtering._needed_lists(matrix.withColumn("block", F.crc32(F.coalesce("user", F.lit(""))) % 3), pairs).collect()
+    assert len(lists) == len({(r["list_block"], r["list_item"]) for r in lists}) <= 75 and {r["list_item"] for r in lists} <= set(items[:25])
+    for most in (20_000, 10):
+        monkeypatch.setattr(filtering, "BLOCK_RATINGS", most)
+        got = {}
+        for r in sorted(filtering.recommend_neighbors(matrix, pairs, 4).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r["user"], []).append((r["asin"], r["score"]))
+        assert got == plain_scores(rows, near, 4)
+
+
 def test_svd_knows_its_error(spark):
     """400 x 300: ten strong directions above a floor of noise, then a second matrix of noise alone."""
     rng = np.random.default_rng(9)
