@@ -303,3 +303,28 @@ def test_a_least_score_leaves_the_same_rows_above_it(spark):
     least = sorted(s for rows in every.values() for _, s in rows)[250]
     want = {a: [(b, s) for b, s in rows if s >= least] for a, rows in every.items()}
     assert collected(search.exact_topk(q, i, 20, least=least)) == {a: rows for a, rows in want.items() if rows}
+
+
+def test_items_travel_to_the_blocks_in_packs(spark, monkeypatch):
+    """A block gets a row per pack, not per item; packs keep to a cell and strip and the order of the ids, and lists are those of all items."""
+    monkeypatch.setattr(search, "PACK", 7)
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(-2, 3, (300, 6)).astype(float)
+    items = spark.createDataFrame([(f"i{n:03}", v.tolist()) for n, v in enumerate(vectors)], "asin string, embedding array<double>")
+    placed = items.selectExpr("cast(crc32(asin) % 2 as int) AS cell", "cast(crc32(asin) % 3 as int) AS strip", "2 AS blocks", "asin", "embedding")
+    packs = search._packed(placed).collect()
+    keys = {r["asin"]: (r["cell"], r["strip"]) for r in placed.collect()}
+    assert sorted(i for p in packs for i in p["ids"]) == sorted(keys) and len(packs) < 100
+    for p in packs:
+        assert len(p["ids"]) <= 7 and p["ids"] == sorted(p["ids"]) and p["asin"] == p["ids"][0]
+        assert {keys[i] for i in p["ids"]} == {(p["cell"], p["strip"])}
+        rows = np.frombuffer(p["vectors"]).reshape(len(p["ids"]), -1)
+        assert (rows == vectors[[int(i[1:]) for i in p["ids"]]]).all()
+    single = items.selectExpr("asin", "cast(embedding AS array<float>) AS embedding")
+    for table in (items, single):
+        found = search.exact_topk(table.withColumnRenamed("asin", "query_id"), table, 9).collect()
+        got = {(r["query_id"], r["rank"]): (r["asin"], r["score"]) for r in found}
+        scores = vectors @ vectors.T
+        for q in range(300):
+            best = sorted(range(300), key=lambda i: (-scores[q, i], i))[:9]
+            assert [got[f"i{q:03}", r + 1] for r in range(9)] == [(f"i{i:03}", scores[q, i]) for i in best]
