@@ -183,3 +183,31 @@ def test_svd_knows_its_error(spark):
     exact = filtering.truncated_svd(matrix, 5, tolerance=1e-7, max_rounds=15)
     got = {r["asin"]: r["factors"] for r in exact.factors.collect()}
     assert np.allclose([got[f"i{i:02}"] for i in range(24)], expected_factors(dense, 5), atol=0.05)
+
+
+def test_the_svd_sums_in_waves_and_leaves_two_tables(spark, monkeypatch):
+    """Waves of the keys give the same sums; of the tables of the rounds only the ratings and the last factors stay."""
+    import os
+    from urllib.parse import urlparse
+
+    from recspark.session import shared_dir
+
+    rng = np.random.default_rng(5)
+    cells = [(f"u{u}", f"i{i}", float(rng.integers(1, 6))) for u in range(60) for i in range(25) if rng.random() < 0.4]
+    matrix = spark.createDataFrame(cells, "user string, item string, rating double").repartition(4)
+    want = {r["asin"]: r["factors"] for r in filtering.truncated_svd(matrix, 3).factors.collect()}
+    sizes, real = [], filtering._weighted_sums
+
+    def counting(entries, *args):
+        sizes.append(entries.count())
+        return real(entries, *args)
+
+    monkeypatch.setattr(filtering, "_weighted_sums", counting)
+    monkeypatch.setattr(filtering, "WAVE_BYTES", len(cells) * 6 * 8 // 4, raising=False)
+    folder = urlparse(shared_dir(spark)).path
+    before = set(os.listdir(folder))
+    svd = filtering.truncated_svd(matrix, 3)
+    assert len([n for n in set(os.listdir(folder)) - before if n.startswith("recspark-")]) == 2
+    got = {r["asin"]: r["factors"] for r in svd.factors.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[a], want[a], atol=1e-6) for a in want)
+    assert len(sizes) >= 4 * (2 + svd.rounds) and max(sizes) < len(cells) * 0.6
