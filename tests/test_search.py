@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from recspark import session
 from recspark.operators import cells, search
 from recspark.operators.embed import embed_texts, embed_with_store, missing_texts
 from recspark.operators.profiles import blend_query_vectors, profile_vectors
@@ -328,3 +329,92 @@ def test_items_travel_to_the_blocks_in_packs(spark, monkeypatch):
         for q in range(300):
             best = sorted(range(300), key=lambda i: (-scores[q, i], i))[:9]
             assert [got[f"i{q:03}", r + 1] for r in range(9)] == [(f"i{i:03}", scores[q, i]) for i in best]
+
+
+def shuffle_files(spark) -> int:
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(blocks.apply(i).getName().startswith("shuffle_") for i in range(blocks.length()))
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """A checkpoint removes what it shuffled; the result that reads it is still whole, also a second time."""
+    import time
+
+    rows = spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 70).alias("key")).agg(F.count("*").alias("n"))
+    before, setting = shuffle_files(spark), spark.conf.get(session.SHUFFLE_CLEANUP, None)
+    kept = session.checkpointed(rows)
+    for _ in range(50):
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= before and spark.conf.get(session.SHUFFLE_CLEANUP, None) == setting
+    assert kept.agg(F.sum("n")).first()[0] == 5000 and sorted(rows.collect()) == sorted(kept.collect())
+
+
+def test_many_blocks_are_searched_in_waves(spark, monkeypatch):
+    """However many copies of the items and lists the whole search needs, a wave has its share of them, and the rows are the same."""
+    queries, items = random_vectors(60, seed=21, prefix="q"), random_vectors(900, seed=22)
+    q, i = frames(spark, queries, items)
+    expected, real, blocks, lists = brute(queries, items, 7), search._score_blocks, [], []
+
+    def counting(asked, packed, *args):
+        blocks.append(packed.agg(F.sum(F.size("ids") * F.col("blocks"))).first()[0])
+        found = real(asked, packed, *args)
+        lists.append(found.count())
+        return found
+
+    monkeypatch.setattr(search, "_score_blocks", counting)
+    rows = [search._block_counts, lambda n_items, n_queries, *_: (1, max(1, n_queries // 10))]
+    monkeypatch.setattr(search, "_block_counts", rows[1])
+    monkeypatch.setattr(search, "WAVE_BYTES", 2 * 900 * (4 * 8 + 24), raising=False)
+    assert collected(search.exact_topk(q, i, 7)) == expected
+    assert len(blocks) >= 3 and max(blocks) <= 2 * 900
+    monkeypatch.setattr(search, "_block_counts", rows[0])
+    blocks.clear(), lists.clear()
+    placed = i.withColumn("cell", (F.crc32("asin") % 5).cast("int"))
+    asked = q.withColumn("cell", F.explode(F.array(*[F.lit(c) for c in range(5)])))
+    monkeypatch.setattr(search, "WAVE_BYTES", 60 * 5 * 7 * 24 // 4, raising=False)
+    assert collected(search.topk_in_cells(asked, placed, 7, probes=5)) == expected
+    assert len(lists) >= 4 and max(lists) <= 60 * 5 * 7 // 2 and sum(lists) == 60 * 5 * 7
+
+
+def test_quantised_vectors_travel_as_bytes(spark):
+    items = spark.createDataFrame([(f"i{n}", [n - 60, 127 - n, -128]) for n in range(100)], "asin string, embedding array<tinyint>")
+    placed = items.withColumns({"cell": F.lit(0), "strip": F.lit(0), "blocks": F.lit(1)})
+    packs = search._packed(placed).collect()
+    assert sum(len(p["vectors"]) for p in packs) == 300
+    got = {i: tuple(v) for p in packs for i, v in zip(p["ids"], np.frombuffer(p["vectors"], "<i1").reshape(-1, 3).tolist())}
+    assert got == {f"i{n}": (n - 60, 127 - n, -128) for n in range(100)}
+    best = search.exact_topk(items.limit(1).select(F.lit("q").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)).alias("embedding")), items, 3)
+    assert [(r["asin"], r["score"]) for r in best.orderBy("rank").collect()] == [("i99", 39.0), ("i98", 38.0), ("i97", 37.0)]
+
+
+def test_coarse_pairs_are_scored_in_waves(spark, monkeypatch):
+    """Every item is a coarse candidate of every query, so that the rows are those of exact search."""
+    queries, items = random_vectors(40, seed=31, prefix="q"), random_vectors(50, seed=32)
+    q, i = frames(spark, queries, items)
+    centroids = cells.train_centroids(i, 3)
+    placed = cells.assign_cells(i, centroids)
+    pairs, real = [], cells.top_per_group
+
+    def counting(df, *args):
+        pairs.append(df.count())
+        return real(df, *args)
+
+    monkeypatch.setattr(cells, "top_per_group", counting)
+    monkeypatch.setattr(cells, "WAVE_BYTES", 40 * 50 * 8 * 8 // 4, raising=False)
+    found = cells.two_stage_topk(q, placed, centroids, 6, coarse_k=50, n_probe=3)
+    assert collected(found) == brute(queries, items, 6)
+    assert len(pairs) == 4 and sum(pairs) == 40 * 50 and max(pairs) < 40 * 50 // 2
+
+
+def test_raw_lines_are_compressed_and_read_the_same(spark, tmp_path):
+    import os
+
+    from checks import fixtures
+
+    lines = spark.range(300).select(F.concat(F.lit('{"asin": "a line that is written often", "n": '), "id", F.lit("}")).alias("value"))
+    fixtures.write_lines(lines.coalesce(1), f"{tmp_path}/lines.jsonl")
+    size = sum(os.path.getsize(f"{tmp_path}/lines.jsonl/{f}") for f in os.listdir(f"{tmp_path}/lines.jsonl") if f.startswith("part-"))
+    assert size < 300 * 50 // 4
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/lines.jsonl").collect()) == sorted(r.value for r in lines.collect())
