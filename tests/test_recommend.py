@@ -337,3 +337,37 @@ def test_lists_are_taken_in_parts_of_bounded_size():
     assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and len(parts) > 2
     assert all(p.num_rows == 1 or sum(len(x or []) + 1 for x in p.column(1).to_pylist()[:-1]) <= 10 for p in parts)
     assert not list(filtering._parts(batch.slice(0, 0), "asin", 10))
+
+
+def test_prompts_are_asked_in_waves_and_histories_hold_no_descriptions(spark, monkeypatch):
+    products = spark.createDataFrame(product_rows(30), PRODUCTS)
+    rng = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(f"p{i}", rng.normal(size=6).tolist()) for i in range(30)], "asin string, embedding array<double>")
+    rows = [(f"u{u}", f"p{(u * 7 + i) % 30}", 4.0, i, f"r{u}-{i}") for u in range(12) for i in range(5)]
+    reviews = spark.createDataFrame(rows, REVIEWS)
+
+    def generate(asked):
+        import json
+        import re
+
+        return [json.dumps({"recommendations": [{"asin": re.findall(r"ASIN: (\S+)", p)[2], "explanation": "third"}]}) for p in asked]
+
+    def answers():
+        final, fresh = recommend.recommend_reranked(reviews, products, recommend.retrieve_exact(vectors, 8), vectors, generate=generate, k=4)
+        return sorted(map(repr, final.collect())), sorted(map(repr, fresh.collect()))
+
+    want, asked, prompts, joined = answers(), [], recommend.rerank_prompts, recommend.with_products
+
+    def counting(candidates, *args, **options):
+        asked.append(candidates.count())
+        return prompts(candidates, *args, **options)
+
+    def plain(history, described):
+        assert "description" not in described.columns
+        return joined(history, described)
+
+    monkeypatch.setattr(recommend, "rerank_prompts", counting)
+    monkeypatch.setattr(recommend, "with_products", plain)
+    monkeypatch.setattr(recommend, "PROMPT_WAVE", 20, raising=False)
+    assert answers() == want and len(want[1]) == 12
+    assert len(asked) >= 3 and max(asked) < sum(asked)
