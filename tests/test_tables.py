@@ -211,3 +211,15 @@ def test_the_svd_sums_in_waves_and_leaves_two_tables(spark, monkeypatch):
     got = {r["asin"]: r["factors"] for r in svd.factors.collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[a], want[a], atol=1e-6) for a in want)
     assert len(sizes) >= 4 * (2 + svd.rounds) and max(sizes) < len(cells) * 0.6
+
+
+def test_a_catalogue_no_longer_reads_the_reviews(spark, tmp_path):
+    """What the reviews give is written before the texts are joined, so that the shuffle files of both are not there together."""
+    spark.range(30).select(
+        (F.col("id") % 3).cast("string").alias("asin"), F.lit(4.0).alias("rating"), F.col("id").alias("unixReviewTime"),
+        F.col("id").cast("string").alias("review_id"), F.lit("t").alias("reviewText"),
+    ).write.parquet(f"{tmp_path}/reviews")
+    metadata = spark.createDataFrame([(str(i), f"t{i}", "c", 1.0, "d") for i in range(3)], "asin string, title string, category string, price double, description string")
+    built = catalogue.build_catalogue(spark.read.parquet(f"{tmp_path}/reviews"), metadata)
+    assert built.inputFiles() and not [f for f in built.inputFiles() if "/reviews/" in f]
+    assert built.count() == 3 and {r["num_reviews"] for r in built.collect()} == {10}
